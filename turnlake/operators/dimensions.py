@@ -1,0 +1,16 @@
+"""Size-checked broadcasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 10_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after checking that ``df`` is small.
+
+    Beyond the bound the hint is left out and Spark shuffles the join.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -92,9 +92,15 @@ def range_blocks(df: DataFrame, keys: list[str], order: list[str], partitions: i
 
 
 def with_ordered(
-    df: DataFrame, keys: list[str], order: list[str], values: dict[str, Ordered], block: str = BLOCK
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    values: dict[str, Ordered],
+    block: str = BLOCK,
+    keep_block: bool = False,
 ) -> DataFrame:
-    """Add the ordered ``values`` to ``df`` and drop the block column.
+    """Add the ordered ``values`` to ``df``; the block column is dropped unless
+    another ordered pass over the same blocks follows (``keep_block``).
 
     ``(keys, order)`` must identify a row's place uniquely, and ``block`` must
     be non-decreasing along ``order`` within ``keys``.
@@ -145,5 +151,5 @@ def with_ordered(
     windowed = df.select("*", *[c.alias(n) for n, c in local.items()])
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(block) == F.col("_k_block")]
     joined = windowed.join(blocks, on, "left")
-    kept = [F.col(c) for c in df.columns if c != block and c not in values]
+    kept = [F.col(c) for c in df.columns if (keep_block or c != block) and c not in values]
     return joined.select(*kept, *[c.alias(n) for n, c in final.items()])
