@@ -131,3 +131,18 @@ def file_name(path: str | Column) -> Column:
 def file_stem(path: str | Column) -> Column:
     """Final path segment without its last extension."""
     return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]*$", "")
+
+
+def lexical_path(x: str | Column) -> Column:
+    """Forward-slash path with ``.`` and ``..`` resolved by text alone."""
+    parts = F.split(comparable_path(x), "/")
+    start = F.filter(parts, lambda p: p.isNull())
+    kept = F.aggregate(
+        parts,
+        start,
+        lambda acc, p: F.when(p.isin("", "."), acc)
+        .when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .otherwise(F.array_append(acc, p)),
+    )
+    absolute = F.when(comparable_path(x).startswith("/"), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(absolute, F.array_join(kept, "/"))

@@ -19,10 +19,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlake.functions.numbers import saturating_add
+from turnlake.functions.text import blank_to_null
 from turnlake.operators.dedup import keep_first
 from turnlake.operators.intervals import join_intervals
 from turnlake.operators.matching import HOLD_MS, TOKEN_FRACTION, TOKEN_SLACK, WINDOW_MS, PairingState, Seen
-from turnlake.operators.normalize import confidence, normalize, plausibility
+from turnlake.operators.normalize import confidence, plausibility, resolved_model, single_agreement
 from turnlake.operators.segments import BLOCK, range_blocks
 from turnlake.schemas import AGREEMENT, CORRELATED_SOURCES, TURN_COLUMNS, TURN_SCHEMA_VERSION
 from turnlake.session import cut_lineage
@@ -96,45 +97,70 @@ def islands(arrivals: DataFrame) -> DataFrame:
     )
 
 
-def _play(rows: pd.DataFrame, tick_ms: int, last: bool) -> Iterator[tuple]:
-    """Replay one group's arrivals; rows carried from an earlier wave first."""
-    state = PairingState(tick_ms)
-    held: dict[tuple, tuple] = {}
+_ARRIVAL_NAMES = [f.split()[0] for f in _ARRIVAL.split(", ")]
+_FATE_NAMES = [f.split()[0] for f in _FATE.split(", ")]
 
-    def out(seen: Seen, fate: str, partner: Seen | None, at: int | None) -> tuple:
-        return (*held[seen.place], fate, partner.key if partner else None, at)
 
-    cols = [rows[c].astype(object).where(rows[c].notna(), None) for c in rows.columns]
-    fresh = []
-    for cap, isl, key, src, model, tin, tout, cache, ts, arr, seq, flush, status in zip(*cols):
-        seen = Seen((arr, seq, key), key, src, model, tin, tout, cache, ts, flush)
-        held[seen.place] = (cap, isl, key, src, model, tin, tout, cache, ts, arr, seq, flush)
-        if status == "waiting":
-            state.wait(seen)
-        elif status == "remembered":
-            state.remember(seen)
-        else:
-            fresh.append(seen)
-    for seen in sorted(fresh):
-        now = seen.place[0]
-        for f in state.advance(now):
-            yield out(f.seen, f.fate, f.partner, f.at)
-        for f in state.arrive(seen, now):
-            yield out(f.seen, f.fate, f.partner, f.at)
-    for seen in state.still_waiting():
-        yield out(seen, "single" if last else "waiting", None, seen.flush)
-    if not last:
-        for seen in state.still_remembered():
-            yield out(seen, "remembered", None, None)
+class _Island:
+    """The replay of one island; ``rows`` keeps what is reported back."""
 
+    def __init__(self, key: tuple, tick_ms: int) -> None:
+        self.key = key
+        self.state = PairingState(tick_ms)
+        self.rows: dict[tuple, tuple] = {}
 
-def _replay(rows: DataFrame, tick_ms: int, last: bool) -> DataFrame:
-    names = [f.split()[0] for f in _FATE.split(", ")]
+    def _out(self, fates: list) -> list[tuple]:
+        # A decided observation is reported once; a remembered one may still be
+        # needed as another's partner, which only takes its key.
+        return [(*self.rows[f.seen.place], f.fate, f.partner.key if f.partner else None, f.at) for f in fates]
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_play(pdf, tick_ms, last)), columns=names)
+    def take(self, row: tuple, status: str | None) -> list[tuple]:
+        _, _, key, source, model, tin, tout, cache, ts, arrival, seq, flush = row
+        seen = Seen((arrival, seq, key), key, source, model, tin, tout, cache, ts, flush)
+        self.rows[seen.place] = row
+        if status == "waiting":
+            self.state.wait(seen)
+            return []
+        if status == "remembered":
+            self.state.remember(seen)
+            return []
+        return self._out(self.state.advance(arrival) + self.state.arrive(seen, arrival))
+
+    def finish(self, last: bool) -> list[tuple]:
+        out = [
+            (*self.rows[s.place], "single" if last else "waiting", None, s.flush) for s in self.state.still_waiting()
+        ]
+        if not last:
+            out += [(*self.rows[s.place], "remembered", None, None) for s in self.state.still_remembered()]
+        return out
+
+
+def _play(batches: Iterator[pd.DataFrame], tick_ms: int, last: bool) -> Iterator[pd.DataFrame]:
+    """Replay the islands of one partition, one after the other."""
+    island = None
+    for pdf in batches:
+        out: list[tuple] = []
+        columns = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in [*_ARRIVAL_NAMES, "status"]]
+        for *row, status in zip(*columns):
+            if island is None or island.key != (row[0], row[1]):
+                if island is not None:
+                    out += island.finish(last)
+                island = _Island((row[0], row[1]), tick_ms)
+            out += island.take(tuple(row), status)
+        if out:
+            yield pd.DataFrame(out, columns=_FATE_NAMES)
+    if island is not None:
+        yield pd.DataFrame(island.finish(last), columns=_FATE_NAMES)
 
-    return rows.groupBy("capture_id", "island").applyInPandas(group, _FATE)
+
+def _replay(rows: DataFrame, tick_ms: int, last: bool) -> DataFrame:
+    """Islands are hashed to partitions and streamed in arrival order; rows an
+    earlier wave handed over come first."""
+    carried_first = F.col("status").isNull()
+    ordered = rows.repartition("capture_id", "island").sortWithinPartitions(
+        "capture_id", "island", carried_first, "arrival_ms", "arrival_seq", "key"
+    )
+    return ordered.select(*_ARRIVAL_NAMES, "status").mapInPandas(lambda it: _play(it, tick_ms, last), _FATE)
 
 
 def _replay_in_waves(rows: DataFrame, n_rows: int, tick_ms: int, max_rows: int) -> DataFrame:
@@ -176,7 +202,7 @@ def pairing_fates(unique: DataFrame, tick_ms: int = TICK_MS, max_rows: int = MAX
         "capture_id",
         F.col("dedup_id").alias("key"),
         "source",
-        F.nullif(F.regexp_replace("model", r"(?U)^\s+|\s+$", ""), F.lit("")).alias("model"),
+        resolved_model().alias("model"),
         F.col("tokens_input").alias("tin"),
         F.col("tokens_output").alias("tout"),
         F.col("tokens_cache").alias("cache"),
@@ -186,9 +212,8 @@ def pairing_fates(unique: DataFrame, tick_ms: int = TICK_MS, max_rows: int = MAX
         "flush_ms",
         F.expr(f"timestamp_ms div {WINDOW_MS}").alias("bucket"),
     )
-    # Several readers follow; the narrow columns are written once for all.
-    arrivals = cut_lineage(arrivals)
-    placed = arrivals.join(islands(arrivals), ["capture_id", "bucket"]).drop("bucket")
+    line = cut_lineage(islands(arrivals))  # a few rows per tenant, read twice
+    placed = arrivals.join(line, ["capture_id", "bucket"]).drop("bucket")
     alone = placed.where(~F.col("two_sided")).select(
         "capture_id",
         "key",
@@ -196,69 +221,74 @@ def pairing_fates(unique: DataFrame, tick_ms: int = TICK_MS, max_rows: int = MAX
         F.lit(None).cast("string").alias("partner"),
         F.col("flush_ms").alias("at_ms"),
     )
-    columns = [f.split()[0] for f in _ARRIVAL.split(", ")]
     shared = placed.where("two_sided")
-    small = shared.where(F.col("island_rows") <= max_rows).select(*columns)
-    small = small.withColumn("status", F.lit(None).cast("string"))
-    played = _replay(small, tick_ms, last=True)
-    giant = shared.where(F.col("island_rows") > max_rows).select(*columns)
-    n_giant = (
-        islands(arrivals)
-        .where(F.col("two_sided") & (F.col("island_rows") > max_rows))
-        .dropDuplicates(["capture_id", "island"])
-        .agg(F.sum("island_rows"))
-        .first()[0]
-    )
+    small = shared.where(F.col("island_rows") <= max_rows).select(*_ARRIVAL_NAMES)
+    played = _replay(small.withColumn("status", F.lit(None).cast("string")), tick_ms, last=True)
+    giants = line.where(F.col("two_sided") & (F.col("island_rows") > max_rows))
+    n_giant = giants.dropDuplicates(["capture_id", "island"]).agg(F.sum("island_rows")).first()[0]
     if n_giant:
+        giant = shared.where(F.col("island_rows") > max_rows).select(*_ARRIVAL_NAMES)
         played = played.unionByName(_replay_in_waves(giant, n_giant, tick_ms, max_rows))
     return played.select("capture_id", "key", "fate", "partner", "at_ms").unionByName(alone)
 
 
-def merge_pairs(pairs: DataFrame) -> DataFrame:
-    """One turn per pair.  ``pairs`` has struct columns ``o`` (OTLP observation,
-    authoritative for counts) and ``j`` (transcript), and ``emitted_ms``."""
-    o, j = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"j.{c}"))
-    blank = lambda c: F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""), F.lit(""))
-    model_o, model_j = blank(o("model")), blank(j("model"))
-    model = F.coalesce(model_o, model_j)
+def _agreement(twin: Column) -> Column:
+    """Field-by-field comparison of the main observation with its twin."""
+    mine, theirs = resolved_model(), blank_to_null(twin.getField("model"))
     fields = F.array_compact(
         F.array(
-            F.when(model_o != model_j, F.lit("model")),
-            F.when(~tokens_close(o("tokens_output"), j("tokens_output")), F.lit("tokens_output")),
+            F.when(mine != theirs, F.lit("model")),
+            F.when(~tokens_close(F.col("tokens_output"), twin.getField("tokens_output")), F.lit("tokens_output")),
             F.when(
-                ~input_close(o("tokens_input"), o("tokens_cache"), j("tokens_input"), j("tokens_cache")),
+                ~input_close(
+                    F.col("tokens_input"), F.col("tokens_cache"), twin.getField("tokens_input"), twin.getField("tokens_cache")
+                ),
                 F.lit("tokens_input"),
             ),
         )
     )
     differ = F.size(fields) > 0
-    agreement = F.struct(
+    return F.struct(
         F.when(differ, F.lit("disagree")).otherwise(F.lit("agree")).alias("status"),
         F.when(differ, fields).alias("fields"),
     ).cast(AGREEMENT)
-    # Plausibility is judged on the OTLP observation alone.
-    judged = pairs.select("*", *[o(c).alias(c) for c in (
-        "tokens_input", "tokens_output", "tokens_thinking", "tokens_cache", "cost_usd", "duration_ms")])
-    judged = judged.withColumn("_plausibility", plausibility())
+
+
+def merge_turns(observed: DataFrame) -> DataFrame:
+    """One turn per observation, merged with its ``twin`` where it has one.
+
+    The OTLP observation is the main one of a pair: its counts, time, identity
+    and plausibility stand.  The transcript twin supplies thinking, session and
+    folder, and whatever else the main one lacks.
+    """
+    twin = F.col("twin")
+    paired = twin.isNotNull()
+    theirs = twin.getField
+    model = F.coalesce(resolved_model(), blank_to_null(theirs("model")))
+    estimated = F.when(paired, F.lit(False)).otherwise(F.col("counts_estimated"))
     derived = {
-        "capture_id": o("capture_id"),
         "schema_version": F.lit(TURN_SCHEMA_VERSION),
-        "turn_id": o("content_id"),
+        "turn_id": F.col("content_id"),
         "model": F.coalesce(model, F.lit("")),
-        "tokens_thinking": j("tokens_thinking"),
-        "prompt_id": F.coalesce(o("prompt_id"), j("prompt_id")),
-        "confidence": confidence(F.lit("otel"), model, F.lit(False)),
-        "cost_usd": F.coalesce(o("cost_usd"), j("cost_usd")),
-        "duration_ms": F.coalesce(o("duration_ms"), j("duration_ms")),
-        "sources": F.array(F.lit("otel"), F.lit("jsonl")),
-        "session_id": F.coalesce(j("session_id"), o("session_id")),
+        "tokens_thinking": F.when(paired, theirs("tokens_thinking")).otherwise(F.col("tokens_thinking")),
+        "prompt_id": F.coalesce("prompt_id", theirs("prompt_id")),
+        "confidence": confidence(F.col("source"), model, estimated),
+        "cost_usd": F.coalesce("cost_usd", theirs("cost_usd")),
+        "duration_ms": F.coalesce("duration_ms", theirs("duration_ms")),
+        "sources": F.when(paired, F.array(F.lit("otel"), F.lit("jsonl"))).otherwise(F.array("source")),
+        "session_id": F.coalesce(theirs("session_id"), F.col("session_id")),
         "attempt_nonce": F.lit(None).cast("string"),
-        "workspace": F.coalesce(j("workspace"), o("workspace")),
-        "agreement": agreement,
-        "plausibility": F.col("_plausibility"),
-        "emitted_ms": F.col("emitted_ms"),
+        "workspace": F.coalesce(theirs("workspace"), F.col("workspace")),
+        "agreement": F.when(paired, _agreement(twin)).otherwise(single_agreement()),
+        "plausibility": plausibility(),
     }
-    return judged.select(*[derived.get(c, o(c)).alias(c) for c in TURN_COLUMNS])
+    return observed.select(*[derived.get(c, F.col(c)).alias(c) for c in TURN_COLUMNS])
+
+
+TWIN_COLUMNS = [
+    "model", "tokens_input", "tokens_output", "tokens_thinking", "tokens_cache",
+    "prompt_id", "cost_usd", "duration_ms", "session_id", "workspace",
+]
 
 
 def correlate(
@@ -267,24 +297,22 @@ def correlate(
     tick_ms: int = TICK_MS,
     max_rows: int = MAX_ISLAND_ROWS,
 ) -> DataFrame:
-    """Raw observations -> turns: de-duplicate, pair, merge, pass the rest on."""
-    unique = with_flush_time(keep_first(raw), otel_expected, tick_ms)
+    """Raw observations -> turns: de-duplicate, pair, merge, pass the rest on.
+
+    The de-duplicated rows and the fates are written once, since each has
+    several readers; both stay hashed on ``(capture_id, dedup_id)``, so only
+    the twins move again.
+    """
+    unique = cut_lineage(with_flush_time(keep_first(raw), otel_expected, tick_ms))
     fates = pairing_fates(unique, tick_ms, max_rows)
-    known = unique.join(
-        fates.select("capture_id", F.col("key").alias("dedup_id"), "fate", "partner", "at_ms"),
-        ["capture_id", "dedup_id"],
-        "left",
+    fates = cut_lineage(fates.withColumnRenamed("key", "dedup_id").repartition("capture_id", "dedup_id"))
+    twins = (
+        unique.where(F.col("source") == "jsonl")
+        .join(fates.where(F.col("fate") == "pair"), ["capture_id", "dedup_id"])
+        .select("capture_id", F.col("partner").alias("dedup_id"), F.struct(*TWIN_COLUMNS).alias("twin"))
     )
     # Editor sources have no fate: each of their rows is a turn of its own.
-    singles = known.where(F.coalesce(F.col("fate"), F.lit("single")) == "single")
-    singles = normalize(singles, F.coalesce(F.col("at_ms"), F.col("flush_ms")))
-    row = F.struct(*[F.col(c) for c in unique.columns])
-    paired = known.where(F.col("fate") == "pair")
-    o = paired.where(F.col("source") == "otel").select(
-        row.alias("o"), F.col("capture_id").alias("_c"), F.col("partner").alias("_p"), F.col("at_ms").alias("emitted_ms")
-    )
-    j = paired.where(F.col("source") == "jsonl").select(
-        row.alias("j"), F.col("capture_id").alias("_jc"), F.col("dedup_id").alias("_jp")
-    )
-    pairs = o.join(j, (F.col("_c") == F.col("_jc")) & (F.col("_p") == F.col("_jp")))
-    return singles.unionByName(merge_pairs(pairs))
+    known = unique.join(fates, ["capture_id", "dedup_id"], "left").join(twins, ["capture_id", "dedup_id"], "left")
+    fate = F.coalesce("fate", F.lit("single"))
+    main = known.where((fate == "single") | ((fate == "pair") & (F.col("source") == "otel")))
+    return merge_turns(main.withColumn("emitted_ms", F.coalesce("at_ms", "flush_ms")))

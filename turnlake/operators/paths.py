@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnlake.functions.text import comparable_path, glob_to_regex_column, percent_decode
+from turnlake.functions.text import comparable_path, glob_to_regex_column, lexical_path, percent_decode
 
 EMPTY_WINDOW = "empty-window"
 
@@ -101,7 +101,8 @@ def conversation_members(
 def watched_changes(changes: DataFrame, roots: DataFrame, ignores: DataFrame, builtin: list[str]) -> DataFrame:
     """File changes inside their root that no ignore rule covers.
 
-    ``changes``: ``capture_id, path`` (absolute) and more; ``roots``:
+    ``changes``: ``capture_id, path`` (absolute, or relative to the root; ``..``
+    is resolved by text) and more; ``roots``:
     ``capture_id, root``; ``ignores``: ``capture_id, pattern`` lines as written.
     Each pattern counts at the root and at any depth, for files and subtrees;
     a capture's patterns form one expression, compiled once per run of rows.
@@ -122,7 +123,11 @@ def watched_changes(changes: DataFrame, roots: DataFrame, ignores: DataFrame, bu
     rules = known.select(
         "capture_id", comparable_path("root").alias("_root"), F.array_join(F.transform(forms, glob_to_regex_column), "|").alias("_rule")
     )
-    joined = changes.join(rules, "capture_id").withColumn("_path", comparable_path("path"))
+    joined = changes.join(rules, "capture_id")
+    full = F.when(comparable_path("path").rlike("^(?:/|[A-Za-z]:)"), F.col("path")).otherwise(
+        F.concat("_root", F.lit("/"), F.col("path"))
+    )
+    joined = joined.withColumn("_path", lexical_path(full))
     inside = joined.where((F.col("_path") == F.col("_root")) | F.col("_path").startswith(F.concat("_root", F.lit("/"))))
     rel = inside.withColumn("rel_path", F.substr("_path", F.length("_root") + 2))
     ignored = (F.col("rel_path") != "") & F.regexp_like("rel_path", F.col("_rule"))

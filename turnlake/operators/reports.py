@@ -68,8 +68,8 @@ def running_scoreboard(turns: DataFrame) -> DataFrame:
     ``turns`` has ``turn_index``; a turn id counts once, at its first index.
     """
     once = turns.groupBy(*KEY, "turn_id").agg(
-        F.min_by(F.struct("turn_index", "prompt_id", *MIX_PARTS), "turn_index").alias("t")
-    ).select(*KEY, "turn_id", "t.*")
+        F.min_by(F.struct("turn_index", "prompt_id", *MIX_PARTS), "turn_index").alias("_first")
+    ).select(*KEY, "turn_id", "_first.*")
     prompt = F.nullif("prompt_id", F.lit(""))
     # A prompt counts at its first turn: a small aggregate joined back, instead
     # of a window over what may be one huge prompt.

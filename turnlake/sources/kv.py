@@ -68,7 +68,13 @@ def bubbles(kv: DataFrame, observed_ms: Column | int = 0) -> DataFrame:
     d = F.col("_doc")
     kind = jsonx.integer(d, "$.type")
     signal = jsonx.present(d, "$.modelInfo") | jsonx.present(d, "$.tokenCount.outputTokens")
-    chars = lambda p: jsonx.content_chars(jsonx.field(d, p), CONTENT_KEYS)
+    # One walk expression for all six places text can sit in.
+    places = ["$.text", "$.codeBlocks", "$.toolFormerData.rawArgs", "$.toolFormerData.result", "$.thinking", "$.allThinkingBlocks"]
+    rows = rows.withColumn(
+        "_chars",
+        F.transform(F.array(*[jsonx.field(d, p) for p in places]), lambda v: jsonx.content_chars(v, CONTENT_KEYS)),
+    )
+    chars = lambda i: F.col("_chars")[i]
     named = jsonx.text(d, "$.modelInfo.modelName")
     zero = F.lit(0).cast("bigint")
     return rows.where(d.isNotNull()).select(
@@ -81,9 +87,9 @@ def bubbles(kv: DataFrame, observed_ms: Column | int = 0) -> DataFrame:
         F.when(named.isNotNull(), F.struct(resolve_model(named).alias("id"))).alias("named_model"),
         F.coalesce(jsonx.count(d, "$.tokenCount.inputTokens"), zero).alias("reported_in"),
         F.coalesce(jsonx.count(d, "$.tokenCount.outputTokens"), zero).alias("reported_out"),
-        (chars("$.text") + chars("$.codeBlocks") + chars("$.toolFormerData.rawArgs")).alias("out_chars"),
-        chars("$.toolFormerData.result").alias("in_chars"),
-        (chars("$.thinking") + chars("$.allThinkingBlocks")).alias("think_chars"),
+        (chars(0) + chars(1) + chars(2)).alias("out_chars"),
+        chars(3).alias("in_chars"),
+        (chars(4) + chars(5)).alias("think_chars"),
     )
 
 

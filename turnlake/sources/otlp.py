@@ -28,8 +28,12 @@ FOLDER = ["cwd", "workspace", "terminal.cwd"]
 
 def _find(attrs: Column, keys: list[str]) -> Column:
     """First attribute that has a value, in the order of the spellings."""
-    hits = [F.try_element_at(F.filter(attrs, lambda a, k=k: a.getField("key") == k), F.lit(1)).getField("value") for k in keys]
-    return F.coalesce(*hits)
+
+    def first(key: str) -> Column:
+        same = F.filter(attrs, lambda a: a.getField("key") == key)
+        return F.try_element_at(same, F.lit(1)).getField("value")
+
+    return F.coalesce(*[first(k) for k in keys])
 
 
 def _count(v: Column) -> Column:

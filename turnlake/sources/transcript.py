@@ -17,25 +17,31 @@ from turnlake.sources.lines import read_lines
 COMMAND_TAGS = ["<command-name>", "<local-command"]
 
 
-def prompt_boundary(doc: Column, line: Column) -> Column:
+#: One typed parse per line; content is text or blocks and usage may be null.
+ENTRY = (
+    "struct<type:string,uuid:string,requestId:string,sessionId:string,cwd:string,timestamp:string,isSidechain:boolean,"
+    "isMeta:boolean,message:struct<id:string,model:string,usage:variant,content:variant>>"
+)
+
+
+def prompt_boundary(entry: Column, line: Column) -> Column:
     """Id of the human prompt a line opens, NULL for every other line.
 
     Machine-written user lines (sub-agents, meta records, slash commands, pure
     tool results) continue the prompt before them.
     """
-    content = jsonx.field(doc, "$.message.content")
-    typed = trim_unicode(jsonx.text(doc, "$.message.content"))
+    content = entry.getField("message").getField("content")
+    typed = trim_unicode(jsonx.text(content, "$"))
     is_command = F.lit(False)
     for tag in COMMAND_TAGS:
         is_command = is_command | typed.startswith(tag)
     own_text = (typed != "") & ~is_command
     blocks = F.exists(
-        F.try_variant_get(content, "$", "array<variant>"),
-        lambda b: F.coalesce(jsonx.text(b, "$.type"), F.lit("")) != "tool_result",
+        jsonx.items(content, "$"), lambda b: F.coalesce(jsonx.text(b, "$.type"), F.lit("")) != "tool_result"
     )
-    human = ~jsonx.is_true(doc, "$.isSidechain") & ~jsonx.is_true(doc, "$.isMeta")
-    opens = (jsonx.text(doc, "$.type") == "user") & human & F.coalesce(own_text, blocks, F.lit(False))
-    return F.when(opens, F.coalesce(jsonx.text(doc, "$.uuid"), fingerprint(line)))
+    machine = F.coalesce(entry.getField("isSidechain"), F.lit(False)) | F.coalesce(entry.getField("isMeta"), F.lit(False))
+    opens = (entry.getField("type") == "user") & ~machine & F.coalesce(own_text, blocks, F.lit(False))
+    return F.when(opens, F.coalesce(entry.getField("uuid"), fingerprint(line)))
 
 
 def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFrame:
@@ -44,33 +50,33 @@ def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFr
     ``lines`` follows :data:`turnlake.sources.lines.LINE_COLUMNS`; the prompt is
     carried along a whole logical log, over file splits and landed chunks.
     """
-    doc = F.col("_doc")
+    entry, message = F.col("_e"), F.col("_e.message")
     fallback = F.lit(fallback_ms) if isinstance(fallback_ms, int) else fallback_ms
-    parsed = lines.withColumn("_doc", F.try_parse_json("line"))
-    is_turn = (jsonx.text(doc, "$.type") == "assistant") & jsonx.present(doc, "$.message.usage")
+    parsed = lines.withColumn("_e", F.from_json("line", ENTRY))
+    is_turn = (entry.getField("type") == "assistant") & message.getField("usage").isNotNull()
     thinking = F.aggregate(
-        F.coalesce(jsonx.items(doc, "$.message.content"), F.filter(F.array(doc), lambda x: F.lit(False))),
+        jsonx.items(message.getField("content"), "$"),
         F.lit(0).cast("bigint"),
         lambda acc, b: acc
         + F.coalesce(F.when(jsonx.text(b, "$.type") == "thinking", F.length(jsonx.text(b, "$.thinking"))), F.lit(0)),
     )
-    usage = lambda k: jsonx.count(doc, f"$.message.usage.{k}")
+    usage = lambda k: jsonx.count(message.getField("usage"), f"$.{k}")
     fields = parsed.select(
         "capture_id",
         "log_id",
         BLOCK,
         "pos",
         F.coalesce(is_turn, F.lit(False)).alias("_turn"),
-        prompt_boundary(doc, F.col("line")).alias("_opens"),
-        jsonx.text(doc, "$.message.model").alias("model"),
+        prompt_boundary(entry, F.col("line")).alias("_opens"),
+        message.getField("model").alias("model"),
         usage("input_tokens").alias("tokens_input"),
         usage("output_tokens").alias("tokens_output"),
-        chars_to_tokens(thinking).alias("tokens_thinking"),
+        chars_to_tokens(F.coalesce(thinking, F.lit(0).cast("bigint"))).alias("tokens_thinking"),
         saturating_add(usage("cache_read_input_tokens"), usage("cache_creation_input_tokens")).alias("tokens_cache"),
-        F.coalesce(rfc3339_ms(jsonx.text(doc, "$.timestamp")), fallback).cast("bigint").alias("timestamp_ms"),
-        jsonx.text(doc, "$.sessionId").alias("session_id"),
-        jsonx.text(doc, "$.cwd").alias("workspace"),
-        F.coalesce(jsonx.text(doc, "$.message.id"), jsonx.text(doc, "$.requestId")).alias("event_id"),
+        F.coalesce(rfc3339_ms(entry.getField("timestamp")), fallback).cast("bigint").alias("timestamp_ms"),
+        entry.getField("sessionId").alias("session_id"),
+        entry.getField("cwd").alias("workspace"),
+        F.coalesce(message.getField("id"), entry.getField("requestId")).alias("event_id"),
     ).where(F.col("_turn") | F.col("_opens").isNotNull())
     placed = with_ordered(
         fields, ["capture_id", "log_id"], ["pos"], {"prompt_id": last_seen(F.col("_opens")), "arrival_seq": row_index()}
