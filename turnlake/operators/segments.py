@@ -102,8 +102,10 @@ def with_ordered(
     """Add the ordered ``values`` to ``df``; the block column is dropped unless
     another ordered pass over the same blocks follows (``keep_block``).
 
-    ``(keys, order)`` must identify a row's place uniquely, and ``block`` must
-    be non-decreasing along ``order`` within ``keys``.
+    ``(keys, order)`` must identify a row's place uniquely, keys are not NULL,
+    and ``block`` must be non-decreasing along ``order`` within ``keys``.  The
+    input is read twice (rows and block summaries), so callers materialise an
+    expensive one first.  The join keeps the window's hash partitioning.
     """
     place = F.struct(*[F.col(c) for c in order])
     inside = W.partitionBy(*keys, block).orderBy(*order)
@@ -149,7 +151,7 @@ def with_ordered(
     blocks = df.groupBy(*keys, block).agg(*summary).select(*keys, block, *[c.alias(n) for n, c in carry.items()])
     blocks = blocks.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(block).alias("_k_block"), *carry)
     windowed = df.select("*", *[c.alias(n) for n, c in local.items()])
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(block) == F.col("_k_block")]
+    on = [F.col(k) == F.col(f"_k_{k}") for k in keys] + [F.col(block) == F.col("_k_block")]
     joined = windowed.join(blocks, on, "left")
     kept = [F.col(c) for c in df.columns if (keep_block or c != block) and c not in values]
     return joined.select(*kept, *[c.alias(n) for n, c in final.items()])

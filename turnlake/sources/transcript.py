@@ -11,6 +11,7 @@ from turnlake.functions.numbers import chars_to_tokens, saturating_add
 from turnlake.functions.text import rfc3339_ms, trim_unicode
 from turnlake.operators.segments import BLOCK, last_seen, row_index, with_ordered
 from turnlake.schemas import conform_raw
+from turnlake.session import cut_lineage
 from turnlake.sources.lines import read_lines
 
 # Tags of local commands that are not prompts.
@@ -44,11 +45,11 @@ def prompt_boundary(entry: Column, line: Column) -> Column:
     return F.when(opens, F.coalesce(entry.getField("uuid"), fingerprint(line)))
 
 
-def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFrame:
-    """Assistant turns with the prompt that drove them.
+def transcript_fields(lines: DataFrame, fallback_ms: Column | int = 0, keep: list[str] | None = None) -> DataFrame:
+    """Turn and prompt lines as typed columns, without any carried state.
 
-    ``lines`` follows :data:`turnlake.sources.lines.LINE_COLUMNS`; the prompt is
-    carried along a whole logical log, over file splits and landed chunks.
+    ``_turn`` marks assistant turns, ``_opens`` holds the id of a prompt that a
+    line opens.  Works on streams too; ``keep`` names the columns passed on.
     """
     entry, message = F.col("_e"), F.col("_e.message")
     fallback = F.lit(fallback_ms) if isinstance(fallback_ms, int) else fallback_ms
@@ -61,11 +62,8 @@ def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFr
         + F.coalesce(F.when(jsonx.text(b, "$.type") == "thinking", F.length(jsonx.text(b, "$.thinking"))), F.lit(0)),
     )
     usage = lambda k: jsonx.count(message.getField("usage"), f"$.{k}")
-    fields = parsed.select(
-        "capture_id",
-        "log_id",
-        BLOCK,
-        "pos",
+    return parsed.select(
+        *(keep or ["capture_id", "log_id", BLOCK, "pos"]),
         F.coalesce(is_turn, F.lit(False)).alias("_turn"),
         prompt_boundary(entry, F.col("line")).alias("_opens"),
         message.getField("model").alias("model"),
@@ -78,6 +76,16 @@ def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFr
         entry.getField("cwd").alias("workspace"),
         F.coalesce(message.getField("id"), entry.getField("requestId")).alias("event_id"),
     ).where(F.col("_turn") | F.col("_opens").isNotNull())
+
+
+def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFrame:
+    """Assistant turns with the prompt that drove them.
+
+    ``lines`` follows :data:`turnlake.sources.lines.LINE_COLUMNS`; the prompt is
+    carried along a whole logical log, over file splits and landed chunks.  The
+    lines that matter are written once, so the raw ones are parsed once.
+    """
+    fields = cut_lineage(transcript_fields(lines, fallback_ms))
     placed = with_ordered(
         fields, ["capture_id", "log_id"], ["pos"], {"prompt_id": last_seen(F.col("_opens")), "arrival_seq": row_index()}
     )
