@@ -72,32 +72,51 @@ def canonical_model_id(name: str | Column) -> Column:
     return F.regexp_replace(dashed(name), r"-20[0-9]{6}$", "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, not once per use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def resolve_model(name: str | Column, catalog: list[str] | None = None) -> Column:
     """Catalog id of a reported model name, NULL when it is not certain.
 
     The catalog is a short literal, so this is one expression evaluated next to
-    the scan: no join, no shuffle on a handful of (very skewed) names.
+    the scan: no join, no shuffle on a handful of (very skewed) names.  The
+    steps are lazy, so a name spelled like its id costs one look-up.
     """
     ids = F.array(*[F.lit(m) for m in (catalog or MODEL_CATALOG)])
-    norm = dashed(F.substring_index(_c(name), "/", -1))
 
     def exact(x: Column) -> Column:
         return F.when(F.array_contains(ids, x), x)
 
+    def extensions(x: Column) -> Column:
+        return _let(F.concat(x, F.lit("-")), lambda stem: F.filter(ids, lambda c: c.startswith(stem)))
+
     def only_extension(x: Column) -> Column:
-        longer = F.filter(ids, lambda c: c.startswith(F.concat(x, F.lit("-"))))
-        return F.when(F.size(longer) == 1, F.element_at(longer, 1))
-
-    parts = F.split(norm, "-")
-    tier = F.coalesce(*[F.when(F.array_contains(parts, t), F.lit(t)) for t in CLAUDE_TIERS])
-    numbers = F.filter(parts, lambda s: s.rlike("^[0-9]+$"))
-    stamped = F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit("")).rlike("^20[0-9]{6}$")
-    version = F.when(stamped, F.slice(numbers, F.lit(1), F.size(numbers) - 1)).otherwise(numbers)
-    stem = F.concat(F.lit("claude-"), tier, F.lit("-"), F.array_join(version, "-"))
-    newest = F.array_max(F.filter(ids, lambda c: c.startswith(F.concat(stem, F.lit("-")))))
-    family = F.when(norm.startswith("claude"), F.coalesce(exact(stem), newest))
-
-    codex = F.when((norm == "codex") | norm.endswith("-codex"), F.lit(DEFAULT_CODEX))
-    base = F.regexp_replace(norm, "-fast$", "")
-    fast = F.when(norm.endswith("-fast"), F.coalesce(exact(base), only_extension(base)))
-    return F.when(norm != "", F.coalesce(exact(norm), family, codex, only_extension(norm), fast))
+        return _let(extensions(x), lambda longer: F.when(F.size(longer) == 1, F.element_at(longer, 1)))
+
+    def family(norm: Column) -> Column:
+        def of(parts: Column) -> Column:
+            tier = F.coalesce(*[F.when(F.array_contains(parts, t), F.lit(t)) for t in CLAUDE_TIERS])
+            numbers = F.filter(parts, lambda s: s.rlike("^[0-9]+$"))
+            stamped = F.coalesce(F.try_element_at(numbers, F.lit(-1)), F.lit("")).rlike("^20[0-9]{6}$")
+            version = F.when(stamped, F.slice(numbers, F.lit(1), F.size(numbers) - 1)).otherwise(numbers)
+            return F.concat(F.lit("claude-"), tier, F.lit("-"), F.array_join(version, "-"))
+
+        stem = _let(F.split(norm, "-"), of)
+        return _let(stem, lambda x: F.coalesce(exact(x), F.array_max(extensions(x))))
+
+    def resolved(norm: Column) -> Column:
+        base = F.regexp_replace(norm, "-fast$", "")
+        return F.when(
+            norm != "",
+            F.coalesce(
+                exact(norm),
+                F.when(norm.startswith("claude"), family(norm)),
+                F.when((norm == "codex") | norm.endswith("-codex"), F.lit(DEFAULT_CODEX)),
+                only_extension(norm),
+                F.when(norm.endswith("-fast"), _let(base, lambda b: F.coalesce(exact(b), only_extension(b)))),
+            ),
+        )
+
+    return _let(dashed(F.substring_index(_c(name), "/", -1)), resolved)

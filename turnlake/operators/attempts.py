@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.numbers import saturating_add, saturating_sum
 from turnlake.operators.normalize import turn_harness
+from turnlake.session import cut_lineage
 
 KEY = ["capture_id", "attempt_id"]
 TOKENS = ["tokens_input", "tokens_output", "tokens_thinking", "tokens_cache"]
@@ -82,7 +83,7 @@ def attempt_fold(turns: DataFrame, attempts: DataFrame | None = None) -> DataFra
     With ``attempts`` (the keys) attempts without turns are kept: they count as
     estimated, with no model and the default harness.
     """
-    fold = _fold(turns)
+    fold = cut_lineage(_fold(turns))  # three readers, far fewer rows than turns
     totals = fold.groupBy(*KEY).agg(
         F.sum("n").cast("bigint").alias("turns"),
         *[saturating_sum(t).alias(t) for t in TOKENS],

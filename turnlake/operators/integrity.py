@@ -18,16 +18,25 @@ BULK_MAX_PRIOR_EDITS = 1
 def pacing(turns: DataFrame) -> DataFrame:
     """Most turns inside any closed 10 s window, and the reason if too many.
 
-    Turns are first counted per millisecond, then a window only ever looks back
-    into the bucket before its own: a group holds at most two buckets of
-    distinct milliseconds, whatever the number of turns.
+    Turns are first counted per millisecond.  Inside a window-sized bucket the
+    count in the window at a moment is a running sum: what the bucket before
+    brought in, plus arrivals, minus what is older than the window.  A group
+    holds at most two buckets of distinct milliseconds whatever the number of
+    turns, and no sliding frame is recomputed.
     """
+    width = BURST_WINDOW_MS
     per_ms = turns.groupBy(*KEY, "timestamp_ms").agg(F.count("*").alias("n"))
-    own = F.expr(f"timestamp_ms div {BURST_WINDOW_MS}")
-    spread = per_ms.withColumn("_own", own).withColumn("_at", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    frame = W.partitionBy(*KEY, "_at").orderBy("timestamp_ms").rangeBetween(-BURST_WINDOW_MS, 0)
-    counted = spread.withColumn("_in_window", F.sum("n").over(frame)).where(F.col("_own") == F.col("_at"))
-    worst = counted.groupBy(*KEY).agg(F.max("_in_window").cast("bigint").alias("worst"))
+    t, n = F.col("timestamp_ms"), F.col("n")
+    begin = t - F.pmod(t, F.lit(width))
+    step = lambda bucket, at, d: F.struct(bucket.alias("bucket"), at.alias("at"), d.alias("d"))
+    steps = F.array(
+        step(begin, t, n),
+        step(begin + width, begin + width, n),
+        step(begin + width, t + width + 1, -n),
+    )
+    moves = per_ms.select(*KEY, F.explode(steps).alias("_s")).groupBy(*KEY, "_s.bucket", "_s.at").agg(F.sum("_s.d").alias("d"))
+    upto = W.partitionBy(*KEY, "bucket").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    worst = moves.withColumn("_in", F.sum("d").over(upto)).groupBy(*KEY).agg(F.max("_in").cast("bigint").alias("worst"))
     reason = F.concat(F.col("worst").cast("string"), F.lit(" turns within 10s — tighter than an interactive session"))
     return worst.withColumn("pacing_reason", F.when(F.col("worst") > BURST_MAX_TURNS, reason))
 

@@ -34,6 +34,23 @@ URL_PASSWORD = r"\b([a-z][a-z0-9+.\-]*://[^\s:@/]*):([^\s:@/]+)@"
 ENV_LINE = r"^([ \t]*(?:export[ \t]+)?" + SECRET_KEY + r"[ \t]*=[ \t]*)([A-Za-z0-9_+/=~\-]{12,})[ \t]*$"
 ASSIGNMENT_HEAD = r"""(["']?""" + SECRET_KEY + r"""["']?[ \t]*[:=][ \t]*)"""
 
+# What a text must contain for a rule to match at all: literals are found much
+# faster than patterns, so most texts skip most patterns.
+NEEDS = [
+    ("private_key", "-----BEGIN"),
+    ("provider_key", "sk-ant-"),
+    ("provider_key", "sk-"),
+    ("provider_key", "AKIA"),
+    ("provider_key", "AIza"),
+    ("provider_key", "github_pat_"),
+    ("provider_key", "gh"),
+    ("provider_key", "xox"),
+    ("bearer_token", "Bearer"),
+    ("jwt", "eyJ"),
+    ("url_credentials", "://"),
+]
+NEEDS_ASSIGNMENT = "(?iU)" + SECRET_KEY.removeprefix(r"[A-Za-z0-9_.\-]{0,40}") + r"""["']?[ \t]*[:=]"""
+
 # A quoted value that already holds a placeholder is matched and put back; any
 # other value is replaced.  A replacement cannot choose its text by branch, so
 # the placeholder is appended to the text once and captured by a look-ahead in
@@ -65,13 +82,17 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     steps.append(("url_credentials", "(?iU)" + URL_PASSWORD, r"$1:" + PLACEHOLDER + "url_credentials]@"))
     steps.append(("env_secret", "(?imdU)" + ENV_LINE, "$1" + PLACEHOLDER + "env_secret]"))
 
-    out = df.withColumn("_t0", F.col(text_col))
+    out = df.withColumn("_t0", F.col(text_col)).withColumn("_assigns", F.col("_t0").rlike(NEEDS_ASSIGNMENT))
     for i, (_, pattern, replacement) in enumerate(steps):
-        out = out.withColumn(f"_t{i + 1}", F.regexp_replace(f"_t{i}", pattern, replacement))
+        # Replacements add no assignment, so one test serves both of its rules.
+        may = F.col(f"_t{i}").contains(NEEDS[i][1]) if i < len(NEEDS) else F.col("_assigns")
+        step = F.when(may, F.regexp_replace(f"_t{i}", pattern, replacement)).otherwise(F.col(f"_t{i}"))
+        out = out.withColumn(f"_t{i + 1}", step)
     n = len(steps)
     marked = F.regexp_replace(F.concat(F.col(f"_t{n}"), F.lit(_TAIL)), _ASSIGNMENT, _ASSIGNMENT_TEXT)
-    out = out.withColumn("_marked", marked)
-    out = out.withColumn(f"_t{n + 1}", F.expr(f"substring(_marked, 1, length(_marked) - {len(_TAIL)})"))
+    out = out.withColumn("_marked", F.when(F.col("_assigns"), marked))
+    rest = F.expr(f"substring(_marked, 1, length(_marked) - {len(_TAIL)})")
+    out = out.withColumn(f"_t{n + 1}", F.when(F.col("_assigns"), rest).otherwise(F.col(f"_t{n}")))
     categories = [c for c, _, _ in steps] + ["env_secret"]
     fired = [F.when(F.col(f"_t{i + 1}") != F.col(f"_t{i}"), F.lit(c)) for i, c in enumerate(categories)]
     uncleanable = F.coalesce(F.col(f"_t{n_whole}").rlike(PEM_BEGIN), F.lit(False))

@@ -74,29 +74,46 @@ def parse_otlp(exports: DataFrame, fallback_ms: Column | int = 0) -> tuple[DataF
     named = (F.col("_r.body.stringValue") == USAGE_EVENT) | (_find(own, EVENT_NAME).getField("stringValue") == USAGE_EVENT)
     records = records.where(F.coalesce(named, F.col("_r.body.stringValue") == USAGE_EVENT, F.lit(False)))
 
-    def attr(*keys: str) -> Column:
-        return F.coalesce(_find(own, list(keys)), _find(F.col("_ra"), list(keys)))
+    def attr(keys: list[str]) -> Column:
+        return F.coalesce(_find(own, keys), _find(F.col("_ra"), keys))
 
-    def tokens(keys: list[str]) -> Column:
-        return F.coalesce(_count(attr(*keys)), F.lit(0).cast("bigint"))
-
-    text = lambda *k: attr(*k).getField("stringValue")
     fallback = F.lit(fallback_ms) if isinstance(fallback_ms, int) else fallback_ms
-    stamped = records.withColumn("timestamp_ms", F.coalesce(F.expr("try_cast(_r.timeUnixNano AS bigint) div 1000000"), fallback))
+    # Every attribute is looked up once, in a step of its own.
+    wanted = {
+        "_model": ["model"],
+        "_input": ["input_tokens"],
+        "_output": ["output_tokens"],
+        "_read": CACHE_READ,
+        "_write": CACHE_WRITE,
+        "_prompt": PROMPT,
+        "_cost": ["cost_usd"],
+        "_duration": ["duration_ms"],
+        "_session": SESSION,
+        "_folder": FOLDER,
+    }
+    looked = records.select(
+        "capture_id",
+        "arrival_ms",
+        "_n",
+        F.coalesce(F.expr("try_cast(_r.timeUnixNano AS bigint) div 1000000"), fallback).alias("timestamp_ms"),
+        *[attr(keys).alias(name) for name, keys in wanted.items()],
+    )
+    tokens = lambda c: F.coalesce(_count(F.col(c)), F.lit(0).cast("bigint"))
+    text = lambda c: F.col(f"{c}.stringValue")
     turns = conform_raw(
-        stamped,
+        looked,
         source=F.lit("otel"),
         harness=F.lit("claude_code_cli"),
-        model=text("model"),
-        tokens_input=tokens(["input_tokens"]),
-        tokens_output=tokens(["output_tokens"]),
+        model=text("_model"),
+        tokens_input=tokens("_input"),
+        tokens_output=tokens("_output"),
         tokens_thinking=F.lit(0),
-        tokens_cache=saturating_add(tokens(CACHE_READ), tokens(CACHE_WRITE)),
-        prompt_id=text(*PROMPT),
-        cost_usd=_number(attr("cost_usd")),
-        duration_ms=_count(attr("duration_ms")),
-        session_id=text(*SESSION),
-        workspace=text(*FOLDER),
+        tokens_cache=saturating_add(tokens("_read"), tokens("_write")),
+        prompt_id=text("_prompt"),
+        cost_usd=_number(F.col("_cost")),
+        duration_ms=_count(F.col("_duration")),
+        session_id=text("_session"),
+        workspace=text("_folder"),
         counts_estimated=F.lit(False),
         event_id=F.lit(None),
         arrival_ms=F.coalesce("arrival_ms", "timestamp_ms"),
