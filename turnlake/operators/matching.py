@@ -156,6 +156,16 @@ class PairingState:
         self.wait(s)
         return []
 
+    def give_up(self, now: int) -> list[Fate]:
+        """Stop waiting for everything at once; it stays remembered."""
+        out = []
+        for s in self.still_waiting():
+            self.waiting[s.source].drop(s)
+            self._paired.add(s.place)
+            self.remember(s._replace(flush=now))
+            out.append(Fate(s, "single", None, now))
+        return out
+
     def still_waiting(self) -> list[Seen]:
         return sorted(e[2] for side in self.waiting.values() for e in side.by_time)
 
