@@ -48,7 +48,7 @@ def prompt_boundary(entry: Column, line: Column) -> Column:
 def transcript_fields(lines: DataFrame, fallback_ms: Column | int = 0, keep: list[str] | None = None) -> DataFrame:
     """Turn and prompt lines as typed columns, without any carried state.
 
-    ``_turn`` marks assistant turns, ``_opens`` holds the id of a prompt that a
+    ``is_turn`` marks assistant turns, ``opens_prompt`` holds the id of a prompt that a
     line opens.  Works on streams too; ``keep`` names the columns passed on.
     """
     entry, message = F.col("_e"), F.col("_e.message")
@@ -64,8 +64,8 @@ def transcript_fields(lines: DataFrame, fallback_ms: Column | int = 0, keep: lis
     usage = lambda k: jsonx.count(message.getField("usage"), f"$.{k}")
     return parsed.select(
         *(keep or ["capture_id", "log_id", BLOCK, "pos"]),
-        F.coalesce(is_turn, F.lit(False)).alias("_turn"),
-        prompt_boundary(entry, F.col("line")).alias("_opens"),
+        F.coalesce(is_turn, F.lit(False)).alias("is_turn"),
+        prompt_boundary(entry, F.col("line")).alias("opens_prompt"),
         message.getField("model").alias("model"),
         usage("input_tokens").alias("tokens_input"),
         usage("output_tokens").alias("tokens_output"),
@@ -75,7 +75,7 @@ def transcript_fields(lines: DataFrame, fallback_ms: Column | int = 0, keep: lis
         entry.getField("sessionId").alias("session_id"),
         entry.getField("cwd").alias("workspace"),
         F.coalesce(message.getField("id"), entry.getField("requestId")).alias("event_id"),
-    ).where(F.col("_turn") | F.col("_opens").isNotNull())
+    ).where(F.col("is_turn") | F.col("opens_prompt").isNotNull())
 
 
 def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFrame:
@@ -87,11 +87,11 @@ def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFr
     """
     fields = cut_lineage(transcript_fields(lines, fallback_ms))
     placed = with_ordered(
-        fields, ["capture_id", "log_id"], ["pos"], {"prompt_id": last_seen(F.col("_opens")), "arrival_seq": row_index()}
+        fields, ["capture_id", "log_id"], ["pos"], {"prompt_id": last_seen(F.col("opens_prompt")), "arrival_seq": row_index()}
     )
     zero = F.lit(0).cast("bigint")
     return conform_raw(
-        placed.where(F.col("_turn")),
+        placed.where(F.col("is_turn")),
         source=F.lit("jsonl"),
         harness=F.lit("claude_code_cli"),
         tokens_input=F.coalesce("tokens_input", zero),
