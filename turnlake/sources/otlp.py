@@ -64,9 +64,11 @@ def parse_otlp(exports: DataFrame, fallback_ms: Column | int = 0) -> tuple[DataF
     )
     bad = F.col("_e").isNull() | F.col("_e._corrupt").isNotNull()
     rejected = parsed.where(bad).drop("_e")
+    # A filter on the parsed column would be pushed below the parse and run it
+    # again; an empty explode drops the rejected payloads just as well.
+    accepted = F.when(F.col("_e._corrupt").isNull(), F.col("_e.resourceLogs"))
     records = (
-        parsed.where(~bad)
-        .select("capture_id", arrival.alias("arrival_ms"), F.explode("_e.resourceLogs").alias("_rl"))
+        parsed.select("capture_id", arrival.alias("arrival_ms"), F.explode(accepted).alias("_rl"))
         .select("capture_id", "arrival_ms", F.col("_rl.resource.attributes").alias("_ra"), F.explode("_rl.scopeLogs").alias("_sl"))
         .select("capture_id", "arrival_ms", "_ra", F.posexplode("_sl.logRecords").alias("_n", "_r"))
     )
