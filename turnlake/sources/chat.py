@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from turnlake.functions import jsonx
 from turnlake.functions.models import resolve_model
 from turnlake.functions.numbers import chars_to_tokens
+from turnlake.functions.rows import keep_rows
 from turnlake.functions.text import file_stem
 from turnlake.operators.segments import BLOCK
 from turnlake.schemas import conform_raw
@@ -47,7 +48,8 @@ def parse_chat_documents(docs: DataFrame, observed_ms: Column | int = 0) -> Data
             "_visible": jsonx.content_chars(response, CONTENT_KEYS, stop_kind="thinking"),
             "_asked": jsonx.content_chars(jsonx.field(req, "$.message"), CONTENT_KEYS),
         }
-    ).where(F.col("_all") > 0)
+    )
+    sized = keep_rows(sized, F.col("_all") > 0)
     rounds = jsonx.items(req, ROUNDS)
     recorded = F.coalesce(
         F.aggregate(

@@ -77,7 +77,8 @@ def bubbles(kv: DataFrame, observed_ms: Column | int = 0) -> DataFrame:
     chars = lambda i: F.col("_chars")[i]
     named = jsonx.text(d, "$.modelInfo.modelName")
     zero = F.lit(0).cast("bigint")
-    return rows.where(d.isNotNull()).select(
+    # A value that is not JSON has neither role and drops out with the others.
+    return rows.select(
         "capture_id",
         F.element_at(F.split("key", ":"), 2).alias("composer_id"),
         F.substring_index("key", ":", -1).alias("bubble_id"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnlake.functions import jsonx
 from turnlake.functions.hashing import fingerprint
 from turnlake.functions.numbers import chars_to_tokens, saturating_add
+from turnlake.functions.rows import keep_rows
 from turnlake.functions.text import rfc3339_ms, trim_unicode
 from turnlake.operators.segments import BLOCK, last_seen, row_index, with_ordered
 from turnlake.schemas import conform_raw
@@ -62,7 +63,7 @@ def transcript_fields(lines: DataFrame, fallback_ms: Column | int = 0, keep: lis
         + F.coalesce(F.when(jsonx.text(b, "$.type") == "thinking", F.length(jsonx.text(b, "$.thinking"))), F.lit(0)),
     )
     usage = lambda k: jsonx.count(message.getField("usage"), f"$.{k}")
-    return parsed.select(
+    fields = parsed.select(
         *(keep or ["capture_id", "log_id", BLOCK, "pos"]),
         F.coalesce(is_turn, F.lit(False)).alias("is_turn"),
         prompt_boundary(entry, F.col("line")).alias("opens_prompt"),
@@ -75,7 +76,8 @@ def transcript_fields(lines: DataFrame, fallback_ms: Column | int = 0, keep: lis
         entry.getField("sessionId").alias("session_id"),
         entry.getField("cwd").alias("workspace"),
         F.coalesce(message.getField("id"), entry.getField("requestId")).alias("event_id"),
-    ).where(F.col("is_turn") | F.col("opens_prompt").isNotNull())
+    )
+    return keep_rows(fields, F.col("is_turn") | F.col("opens_prompt").isNotNull())
 
 
 def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFrame:
