@@ -96,13 +96,16 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     categories = [c for c, _, _ in steps] + ["env_secret"]
     fired = [F.when(F.col(f"_t{i + 1}") != F.col(f"_t{i}"), F.lit(c)) for i, c in enumerate(categories)]
     uncleanable = F.coalesce(F.col(f"_t{n_whole}").rlike(PEM_BEGIN), F.lit(False))
-    return out.select(
+    done = F.struct(
         *source,
         F.when(~uncleanable, F.col(f"_t{n + 1}")).alias("redacted_text"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*fired)))).alias("categories"),
         F.lit(CATALOG_VERSION).alias("catalog_version"),
         uncleanable.alias("uncleanable"),
     )
+    # A caller's filter must stay above: pushed down, it would unfold the whole
+    # chain of steps into one expression.
+    return out.select(F.inline(F.array(done)))
 
 
 def redact_bundles(files: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
