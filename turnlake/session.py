@@ -29,9 +29,9 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: st
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder lineage is cut into.
 
-    ``spark.checkpoint.dir`` names it.  Only a local-mode session may fall back
-    to a folder of this machine; a cluster without the setting is an error,
-    because executors could not read each other's files.
+    ``spark.checkpoint.dir`` names it.  Only a session whose executor is the
+    driver itself may fall back to a folder of this machine; any other without
+    the setting is an error, because executors could not read each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -39,7 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="turnlake-checkpoint-")
     sc.setCheckpointDir(configured)
