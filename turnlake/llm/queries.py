@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, chat_format, counts, token_files, toxicity, urls
+from turnlake.llm import bpe, chat_format, counts, jaccard, token_files, toxicity, urls
 from turnlake.llm.common import read, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op4_token_counts, op6_chat_format, op7_toxicity, op8_url_filter, op9_token_files)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op4_token_counts, op6_chat_format, op7_toxicity, op8_url_filter, op9_token_files, op10_jaccard)}
 
 _TURNS = """
 WITH rows AS (
@@ -72,7 +76,32 @@ WITH rows AS (
     UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
 )"""
 
+# Components by repeated minima over links, from every document's own id.
+_JACCARD = """
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+    FROM words
+), sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+items AS (SELECT doc_id, unnest(s) AS t FROM sets),
+shared AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM items a JOIN items b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)
+), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+    SELECT doc_id AS node, doc_id AS seen FROM sizes
+    UNION
+    SELECT y, seen FROM reach JOIN both_ways ON x = node
+)
+SELECT doc_id, n AS n_shingles, (SELECT min(seen) FROM reach WHERE node = doc_id) AS component_id FROM sizes
+"""
+
 CHECKS: dict[str, str] = {
+    "op10_jaccard": _JACCARD,
     "op6_chat_format": _TURNS
     + """
 SELECT conv_id, count(*) AS n_turns,

@@ -232,5 +232,6 @@ def read_token_files(manifest: DataFrame, id_column: str = "doc_id") -> DataFram
                             )
                             begin, size, found = k + 1, 0, []
 
-    spread = manifest.select("path", "first_id", "shard").repartition("shard").select("path", "first_id")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not left to AQE, which sees few bytes here
+    spread = manifest.select("path", "first_id", "shard").repartition(tasks, "shard").select("path", "first_id")
     return spread.mapInArrow(read, f"`{id_column}` long, start long, n_tokens long, ids binary")
