@@ -99,12 +99,12 @@ def embed(h: np.ndarray, begin: np.ndarray, length: np.ndarray, n: np.ndarray, r
     steps = np.floor(sampled[:, None] * (3 * n)).astype(np.int64)
     place, bucket = np.zeros(len(begin), np.int64), n.astype(np.uint64) * _MIX[0]
     for step in range(int(steps.max(initial=-1)) + 1):
-        salt = np.uint64(rng.integers(1 << 63) * 2 + 1)
+        salt = np.uint64(int(rng.integers(1 << 63)) * 2 + 1)
         word = np.where(place < length, h[np.minimum(begin + place, len(h) - 1)], _FILL)
         for s in steps:
             bucket = np.where(s == step, (bucket ^ word) * _MIX[1], bucket)
         place += (((word ^ salt) * _MIX[2]) >> np.uint64(63)).astype(np.int64)
-    return bucket ^ (np.uint64(repeat) * _MIX[2])
+    return bucket ^ np.uint64(repeat * int(_MIX[2]) % (1 << 64))
 
 
 def edit_distance(a: list[int], b: list[int], most: int) -> int:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, chat_format, counts, jaccard, token_files, toxicity, urls
+from turnlake.llm import bpe, chat_format, counts, decontaminate, jaccard, lines, token_files, toxicity, urls
 from turnlake.llm.common import read, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.bpe_encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select(
@@ -23,6 +27,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.deduplicated_lines(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.col("_lines.lines").alias("n_lines"), F.col("_lines.kept").alias("n_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -67,7 +76,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op4_token_counts, op6_chat_format, op7_toxicity, op8_url_filter, op9_token_files, op10_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_line_dedup, op4_token_counts, op6_chat_format, op7_toxicity, op8_url_filter, op9_token_files, op10_jaccard)}
 
 _TURNS = """
 WITH rows AS (
@@ -79,11 +88,11 @@ WITH rows AS (
 # Components by repeated minima over links, from every document's own id.
 _JACCARD = """
 WITH RECURSIVE words AS (
-    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
     FROM documents
 ), sets AS (
     SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                        ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+                        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
     FROM words
 ), sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 items AS (SELECT doc_id, unnest(s) AS t FROM sets),
