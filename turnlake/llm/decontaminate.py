@@ -34,6 +34,8 @@ from turnlake.llm.common import Cache, text_of
 SLACK = 5
 #: Words of a run at most; characters of a block of items; windows embedded at a time.
 RUN, BLOCK_CHARS, WINDOWS = 3, 8_000_000, 100_000
+#: Bits of a run's fingerprint in the table of those seen in items.
+_SEEN = 20
 #: Sampled coordinates of a bucket, and the recall aimed at for a window at the full distance.
 SAMPLED, RECALL = 2, 0.99
 #: Share of pairs at the full distance that meet in one repetition: measured
@@ -144,7 +146,9 @@ class Items:
             found = [np.unique(runs(self.words[k], q)) for k in own]
             key, item = np.concatenate(found), np.repeat(own, [len(x) for x in found])
             order = np.argsort(key, kind="stable")
-            self.by_run[q] = (key[order], item[order])
+            seen = np.zeros(1 << _SEEN, bool)  # tells most other runs at once
+            seen[key >> np.uint64(64 - _SEEN)] = True
+            self.by_run[q] = (key[order], item[order], seen)
         if self.words:
             flat, begin = np.concatenate(self.words), np.cumsum(self.n) - self.n
             keys = np.concatenate([embed(flat, begin, self.n, self.n, r) for r in range(REPEATS)])
@@ -157,9 +161,10 @@ class Items:
         ``first`` and ``last`` bound the document of each word of ``h``.
         """
         found = set()
-        for q, (keys, items) in self.by_run.items():
+        for q, (keys, items, seen) in self.by_run.items():
             here = runs(h, q)
-            inside = np.flatnonzero(first[: len(here)] == first[q - 1 :][: len(here)])
+            inside = np.flatnonzero(seen[here >> np.uint64(64 - _SEEN)])
+            inside = inside[first[inside] == first[inside + q - 1]]
             left, right = np.searchsorted(keys, here[inside], "left"), np.searchsorted(keys, here[inside], "right")
             hit = np.flatnonzero(right > left)
             if not len(hit):
@@ -200,9 +205,12 @@ class Items:
                 left, right = np.searchsorted(self.buckets, key, "left"), np.searchsorted(self.buckets, key, "right")
                 for w in np.flatnonzero(right > left):
                     met.update((int(w), int(k)) for k in self.in_bucket[left[w] : right[w]])
-            for w, k in sorted(met):
-                if self.n[k] != n[w]:
-                    continue
+            met = sorted((w, k) for w, k in met if self.n[k] == n[w])
+            for w, k in met:  # whole copies first: nothing else of the document can be closer
+                where = (int(first[start[w]]), k)
+                if length[w] == n[w] and where not in best and (h[start[w] : start[w] + n[w]] == self.words[k]).all():
+                    best[where] = (0, int(start[w]), int(n[w]))
+            for w, k in met:
                 s, size = int(start[w]), int(length[w])
                 where = (int(first[s]), k)
                 most = min(allowed(int(self.n[k])), best[where][0] - 1 if where in best else 1 << 30)
@@ -241,7 +249,7 @@ def _searched(items: Items, texts: list[str]) -> list[list[tuple[int, int, int,
     return found
 
 
-def _portions(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _portions(texts: list[str], chars: int = 16_000_000) -> Iterator[tuple[int, int]]:
     begin, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
