@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm import bpe, chat_format, counts, decontaminate, jaccard, lines, token_files, toxicity, urls
+from turnlake.llm import bm25, bpe, chat_format, counts, decontaminate, jaccard, lines, token_files, toxicity, urls
 from turnlake.llm.common import read, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 20, itself among them."""
+    docs = read(spark, sf_dir, "documents")
+    return bm25.top_k(docs, docs.where(F.col("doc_id") % 20 == 0))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -83,7 +89,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_line_dedup, op4_token_counts, op6_chat_format, op7_toxicity, op8_url_filter, op9_token_files, op10_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_bpe, op3_line_dedup, op4_token_counts, op5_bm25, op6_chat_format, op7_toxicity, op8_url_filter, op9_token_files, op10_jaccard)}
 
 _TURNS = """
 WITH rows AS (
