@@ -93,9 +93,12 @@ def test_transcript_stream_carries_prompts_over_chunks(spark, tmp_path):
 
 def test_dedup_and_feed(spark, sf_dir, tmp_path):
     rows = fx.raw_turns(spark, sf_dir).where("source = 'jsonl'").select(*RAW_TURN.fieldNames())
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = run(ingest.stream_dedup(ingest.stream_raw_turns(spark, str(tmp_path / "in")), "3650 days"), tmp_path, "unique")
-    assert got.count() == keep_first(rows).count()
+    # Old turns come after new ones, a file at a time: all of them count.
+    for part, old in enumerate((rows, rows.withColumn("timestamp_ms", F.col("timestamp_ms") - 90 * 86_400_000).withColumn("event_id", F.concat("event_id", F.lit("-old"))))):
+        old.coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+    stream = spark.readStream.schema(RAW_TURN).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = run(ingest.stream_dedup(stream), tmp_path, "unique")
+    assert got.count() == keep_first(spark.read.schema(RAW_TURN).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))).count()
 
 
 def test_store_is_idempotent(spark, sf_dir, tmp_path):

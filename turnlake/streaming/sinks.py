@@ -43,7 +43,11 @@ def store_turns(
     return writer.queryName(query).start()
 
 
-def live_feed(turns: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Each turn once, for readers that follow the stream."""
-    timed = turns.withColumn("event_time", F.timestamp_millis("timestamp_ms"))
-    return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["turn_id"]).drop("event_time")
+def live_feed(turns: DataFrame, memory: str = "1 hour") -> DataFrame:
+    """Each turn once, for readers that follow the stream.
+
+    As in :func:`turnlake.streaming.ingest.stream_dedup` the watermark follows
+    the clock: turns with old times pass, repeats are known for ``memory``.
+    """
+    timed = turns.withColumn("read_at", F.current_timestamp())
+    return timed.withWatermark("read_at", memory).dropDuplicatesWithinWatermark(["turn_id"]).drop("read_at")
