@@ -62,10 +62,18 @@ def test_globs(spark):
     df = spark.createDataFrame(cases, "g string, p string, want boolean")
     got = df.withColumn("hit", F.regexp_like("p", text.glob_to_regex_column("g")))
     assert [r for r in got.collect() if r.hit != r.want] == []
-    import re
+    more = [
+        ("src/[ab]/*.go", "src/a/x.go", True), ("src/[ab]/*.go", "src/c/x.go", False), ("[!c].x", "d.x", True), ("[!c].x", "c.x", False), ("[]x]", "]", True),
+        ("[0-9a-c]", "b", True), ("*.{log,tmp}", "x.tmp", True), ("*.{log,tmp}", "x.txt", False), ("{a,{b,c}/d}.x", "c/d.x", True), ("a,b", "a,b", True),
+        ("a|b", "a", False), ("[a^&&b]", "^", True), ("(x)", "(x)", True), ("{a,b}", "ab", False), ("a]", "a]", True),
+    ]
+    df = spark.createDataFrame(more, "g string, p string, want boolean").withColumn("hit", F.regexp_like("p", text.glob_to_regex_column("g")))
+    assert [r for r in df.collect() if r.hit != r.want] == []
+    wrong = spark.createDataFrame([(g,) for g in ("src/[ab", "{a", "a}", "}{", "[z-a]", "[")], "g string")
+    assert wrong.where(text.glob_to_regex_column("g").isNotNull()).count() == 0
+
 
-    for g, p, want in cases:
-        assert bool(re.search(text.glob_to_regex(g), p)) == want
-    assert re.search(text.glob_to_regex("{a,b}/[!c].x"), "b/d.x")
-    with pytest.raises(ValueError):
-        text.glob_to_regex("src/[ab")
+def test_percent_signs(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(text.percent_decode(F.lit("My%20Repo/100%zz"))) == "My Repo/100%zz"
+    assert one(text.percent_decode(F.lit("50%"))) == "50%"

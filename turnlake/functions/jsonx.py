@@ -54,10 +54,6 @@ def first_integer(doc: Column, *paths: str) -> Column:
     return F.coalesce(*[integer(doc, p) for p in paths])
 
 
-#: JSON documents nest at most this deep in the logs' own parser.
-MAX_DEPTH = 128
-
-
 def content_chars(doc: Column, keys: list[str], stop_kind: str | None = None) -> Column:
     """Characters of all strings reachable through ``keys``, arrays and bare
     strings, at any depth.
@@ -91,7 +87,7 @@ def content_chars(doc: Column, keys: list[str], stop_kind: str | None = None) ->
         )
 
     openers = F.length(F.regexp_replace(F.to_json(doc), r"[^\[{]", ""))
-    levels = F.sequence(F.lit(0), F.least(F.lit(MAX_DEPTH), openers))
+    levels = F.sequence(F.lit(0), openers)
     start = F.struct(F.filter(F.array(doc), lambda x: x.isNotNull()).alias("frontier"), zero.alias("total"))
     walked = F.aggregate(levels, start, step, lambda acc: acc.getField("total"))
     return F.when(doc.isNotNull(), F.coalesce(walked, zero)).otherwise(zero)

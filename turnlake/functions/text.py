@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,70 +55,52 @@ def relative_path(x: str | Column) -> Column:
 
 
 def percent_decode(x: str | Column) -> Column:
-    """Decode ``%XX``; text with a malformed escape is left as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(_c(x), F.lit("+"), F.lit("%2B"))), _c(x))
-
+    """Decode every ``%XX``; a percent sign without two digits stays,
+    bytes that are not UTF-8 become replacement characters."""
+    kept = F.regexp_replace(F.replace(_c(x), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(kept), _c(x))
 
-def glob_to_regex(pattern: str) -> str:
-    """Regular expression of a path glob; ``*`` also crosses ``/``.
 
-    ``**/`` matches any leading folders or none and a final ``/**`` any
-    non-empty subtree.  Raises ValueError for an unbalanced class or brace.
-    """
-    out, i, depth = "", 0, 0
-    if pattern.startswith("**/"):
-        out, i = "(?:.*/)?", 3
-    while i < len(pattern):
-        ch = pattern[i]
-        if pattern.startswith("/**/", i):
-            out, i = out + "(?:/|/.*/)", i + 4
-        elif pattern.startswith("/**", i) and i + 3 == len(pattern):
-            out, i = out + "/.+", i + 3
-        elif ch == "*":
-            out, i = out + ".*", i + 1
-        elif ch == "?":
-            out, i = out + ".", i + 1
-        elif ch == "[":
-            end = pattern.find("]", i + 2)
-            if end < 0:
-                raise ValueError(f"unclosed class in glob {pattern!r}")
-            body = pattern[i + 1 : end].replace("\\", "\\\\")
-            if body[0] == "!":
-                body = "^" + body[1:]
-            out, i = out + f"[{body}]", end + 1
-        elif ch == "{":
-            out, i, depth = out + "(?:", i + 1, depth + 1
-        elif ch == "}":
-            if depth == 0:
-                raise ValueError(f"unopened brace in glob {pattern!r}")
-            out, i, depth = out + ")", i + 1, depth - 1
-        elif ch == "," and depth:
-            out, i = out + "|", i + 1
-        else:
-            out, i = out + re.escape(ch), i + 1
-    if depth:
-        raise ValueError(f"unclosed brace in glob {pattern!r}")
-    return f"(?s)^{out}$"
+#: Pieces of a glob: folder wildcards, wildcards, classes, single characters.
+_GLOB_PIECES = r"(?s)/\*\*/|/\*\*\z|\*|\?|\[!?\]?[^\]]*\]|."
 
 
 def glob_to_regex_column(pattern: str | Column) -> Column:
-    """Column form of :func:`glob_to_regex` for the wildcards ``*``, ``?``,
-    ``**/`` and ``/**``; NULL for a pattern with classes or braces, which a
-    caller must translate on the (small) dimension instead."""
+    """Regular expression of a path glob; NULL for a malformed one.
+
+    ``*`` also crosses ``/``, ``**/`` in front matches any leading folders or
+    none, a final ``/**`` any non-empty subtree; ``[a-z]``, ``[!a]`` and
+    ``{a,b}`` (nested too) are classes and alternatives.  Malformed are unclosed
+    classes, braces that do not pair and descending ranges.
+    """
     p = _c(pattern)
-    esc = F.regexp_replace(p, r"([.+^$()|\\])", r"\\$1")
-    steps = [
-        (r"^\*\*/", "\u0001"),
-        (r"/\*\*/", "\u0002"),
-        (r"/\*\*$", "\u0003"),
-        (r"\*", ".*"),
-        (r"\?", "."),
-        ("\u0001", "(?:.*/)?"),
-        ("\u0002", "(?:/|/.*/)"),
-        ("\u0003", "/.+"),
-    ]
-    rx = reduce(lambda acc, s: F.regexp_replace(acc, s[0], s[1]), steps, esc)
-    return F.when(~p.rlike(r"[\[\]{}]"), F.concat(F.lit("(?s)^"), rx, F.lit("$")))
+    leading = p.startswith("**/")
+    pieces = F.regexp_extract_all(F.when(leading, F.substr(p, F.lit(4))).otherwise(p), F.lit(_GLOB_PIECES), F.lit(0))
+    state = F.struct(F.when(leading, "(?:.*/)?").otherwise("").alias("out"), F.lit(0).alias("depth"), F.lit(False).alias("bad"))
+
+    def step(acc: Column, x: Column) -> Column:
+        is_class = x.startswith("[") & (F.length(x) > 1)
+        negated = x.startswith("[!")
+        body = F.substr(x, F.when(negated, 3).otherwise(2), F.length(x) - F.when(negated, 3).otherwise(2))
+        ranges = F.regexp_extract_all(body, F.lit("(?s)(.)-(.)"), F.lit(1)), F.regexp_extract_all(body, F.lit("(?s)(.)-(.)"), F.lit(2))
+        descends = F.exists(F.zip_with(*ranges, lambda low, high: low > high), lambda b: b)
+        inner = F.concat(F.when(negated, "[^").otherwise("["), F.regexp_replace(body, r"([\\\[\]^&])", r"\\$1"), F.lit("]"))
+        written = (
+            F.when(x == "/**/", "(?:/|/.*/)")
+            .when(x == "/**", "/.+")
+            .when(x == "*", ".*")
+            .when(x == "?", ".")
+            .when(is_class, inner)
+            .when(x == "{", "(?:")
+            .when(x == "}", ")")
+            .when((x == ",") & (acc["depth"] > 0), "|")
+            .otherwise(F.regexp_replace(x, r"([.+^$()|\\\]])", r"\\$1"))
+        )
+        depth = acc["depth"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        bad = acc["bad"] | (x == "[") | (depth < 0) | (is_class & ((F.length(body) == 0) | descends))
+        return F.struct(F.concat(acc["out"], written).alias("out"), depth.alias("depth"), bad.alias("bad"))
+
+    return F.aggregate(pieces, state, step, lambda acc: F.when(~acc["bad"] & (acc["depth"] == 0), F.concat(F.lit("(?s)^(?:"), acc["out"], F.lit(")$"))))
 
 
 def file_name(path: str | Column) -> Column:
