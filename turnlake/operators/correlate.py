@@ -47,6 +47,28 @@ def input_close(a_in: Column, a_cache: Column, b_in: Column, b_cache: Column) ->
     return tokens_close(a_in, b_in) | tokens_close(saturating_add(a_in, a_cache), saturating_add(b_in, b_cache))
 
 
+#: Arrival times beyond this, of broken clocks, count as this when adding to them.
+FAR_MS = 1 << 61
+
+
+def _near(ms: Column) -> Column:
+    return F.greatest(F.least(ms, F.lit(FAR_MS)), F.lit(-FAR_MS))
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """Disjoint spans that cover what ``spans (capture_id, open_ms, close_ms)`` cover; a NULL close is open.
+
+    So a row lies in one span at most, however sessions touch or overlap.
+    """
+    order = W.partitionBy("capture_id").orderBy("open_ms", "close")
+    ends = spans.withColumn("close", F.coalesce("close_ms", F.lit((1 << 63) - 1)))
+    reach = F.max("close").over(order.rowsBetween(W.unboundedPreceding, -1))
+    begins = ends.withColumn("fresh", (reach.isNull() | (F.col("open_ms") > reach)).cast("long"))
+    numbered = begins.withColumn("span", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    whole = numbered.groupBy("capture_id", "span").agg(F.min("open_ms").alias("open_ms"), F.max("close").alias("close"))
+    return whole.select("capture_id", "open_ms", F.nullif("close", F.lit((1 << 63) - 1)).alias("close_ms"))
+
+
 def _ceil_tick(ms: Column, tick_ms: int) -> Column:
     return (ms + F.pmod(-ms, F.lit(tick_ms))).cast("bigint")
 
@@ -59,14 +81,14 @@ def with_flush_time(raw: DataFrame, otel_expected: DataFrame | None = None, tick
     hold, cut short when the span closes; outside it ends at the next tick.
     Without the table a counterpart is always expected.
     """
-    held = _ceil_tick(F.col("arrival_ms") + F.lit(HOLD_MS), tick_ms)
+    held = _ceil_tick(_near(F.col("arrival_ms")) + F.lit(HOLD_MS), tick_ms)
     if otel_expected is None:
         return raw.withColumn("flush_ms", held)
-    spans = otel_expected.select("capture_id", "open_ms", "close_ms")
+    spans = merged_spans(otel_expected.select("capture_id", "open_ms", "close_ms"))
     known = join_intervals(raw, "arrival_ms", spans, "open_ms", "close_ms", ["capture_id"], how="left")
     flush = F.when(
         F.col("open_ms").isNotNull(), F.least(held, F.coalesce(F.col("close_ms"), held))
-    ).otherwise(_ceil_tick(F.col("arrival_ms"), tick_ms))
+    ).otherwise(_ceil_tick(_near(F.col("arrival_ms")), tick_ms))
     return known.withColumn("flush_ms", flush).drop("open_ms", "close_ms")
 
 

@@ -41,8 +41,21 @@ def pacing(turns: DataFrame) -> DataFrame:
     return worst.withColumn("pacing_reason", F.when(F.col("worst") > BURST_MAX_TURNS, reason))
 
 
+def listed_changes(changes: DataFrame, levels: DataFrame) -> DataFrame:
+    """The changes that a glob of their level covers: only these are provenance.
+
+    The path within the workspace is ``rel_path`` where the changes have it
+    (:func:`turnlake.operators.paths.watched_changes` adds it), else ``path``.
+    """
+    inner = "rel_path" if "rel_path" in changes.columns else "path"
+    rules = levels.select(*[F.col(k).alias(f"_l_{k}") for k in KEY], F.col("allow_regexes").alias("_l_rules"))
+    joined = changes.join(rules, [F.col(k) == F.col(f"_l_{k}") for k in KEY])
+    path = F.replace(F.col(inner), F.lit("\\"), F.lit("/"))
+    return joined.where(F.exists("_l_rules", lambda rx: F.regexp_like(path, rx))).select(*changes.columns)
+
+
 def bulk_pastes(changes: DataFrame) -> DataFrame:
-    """Bulk-replacement signals out of file-change events.
+    """Bulk-replacement signals out of file-change events, of listed files.
 
     ``changes``: ``capture_id, attempt_id, path, kind, size, timestamp_ms, seq``.
     A file may only be flagged on its first or second event, so only the two

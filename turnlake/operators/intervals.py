@@ -26,25 +26,17 @@ def join_intervals(
 ) -> DataFrame:
     """Join points to the intervals of the same keys that contain them.
 
-    Both ends are inclusive, a NULL ``stop`` is open.  Open and long intervals
-    are only repeated over the buckets in which their key has points at all, so
-    the repetition is bounded by the data.  Interval columns other than the keys
+    Both ends are inclusive, a NULL ``stop`` is open.  An interval is only
+    repeated over those buckets in which its key has points, so neither open
+    intervals nor far timestamps make rows without data.  Interval columns other than the keys
     must not collide with point columns.
     """
     at_bucket = F.expr(f"`{at}` div {bucket_ms}")
     pts = points.withColumn("_bucket", at_bucket)
-    # Occupied buckets of each key: pre-aggregated before its shuffle.
-    occupied = pts.groupBy(*keys).agg(F.min("_bucket").alias("_lo"), F.max("_bucket").alias("_hi"))
-    lo = F.greatest(F.expr(f"`{start}` div {bucket_ms}"), F.col("_lo"))
-    hi = F.least(F.coalesce(F.expr(f"`{stop}` div {bucket_ms}"), F.col("_hi")), F.col("_hi"))
-    spread = (
-        intervals.join(occupied, keys)
-        .withColumn("_a", lo)
-        .withColumn("_b", hi)
-        .where(F.col("_a") <= F.col("_b"))
-        .withColumn("_bucket", F.explode(F.sequence("_a", "_b")))
-        .drop("_lo", "_hi", "_a", "_b")
-    )
+    # Occupied buckets of each key: made distinct before their shuffle.
+    occupied = pts.select(*keys, "_bucket").distinct()
+    last = F.coalesce(F.expr(f"`{stop}` div {bucket_ms}"), F.col("_bucket"))
+    spread = intervals.join(occupied, keys).where(F.col("_bucket").between(F.expr(f"`{start}` div {bucket_ms}"), last))
     renamed = spread.select(
         *[F.col(k).alias(f"_i_{k}") for k in [*keys, "_bucket"]],
         *[c for c in spread.columns if c not in keys and c != "_bucket"],

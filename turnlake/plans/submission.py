@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlake.operators.attempts import KEY, cross_source_summary, weakest_confidence
 from turnlake.operators.content import allowlisted, content_hashes, validate_bundles
-from turnlake.operators.integrity import bulk_pastes, capture_summary, trust_tier
+from turnlake.operators.integrity import bulk_pastes, capture_summary, listed_changes, trust_tier
 from turnlake.operators.ledger import final_messages, turn_messages
 from turnlake.operators.redact import redact_bundles
 
@@ -30,7 +30,7 @@ def submission_records(
     verdicts = validate_bundles(files, levels, KEY)
     clean, redaction = redact_bundles(allowlisted(files, levels, KEY), KEY)
     hashes = content_hashes(clean, KEY, meta_dir).withColumnRenamed("content_hash", "final_code_hash")
-    summary = capture_summary(sessions, turns, bulk_pastes(changes), signed_at_ms)
+    summary = capture_summary(sessions, turns, bulk_pastes(listed_changes(changes, levels)), signed_at_ms)
     cross = cross_source_summary(turns)
     zero = F.lit(0).cast("bigint")
     ready = (
