@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions.models import canonical_model_id
-from turnlake.operators.dimensions import bounded_broadcast
 
 # What the live and the best-case projection assume.
 DEFAULT_CHALLENGE_TYPE = "implementation"
@@ -80,8 +79,8 @@ def economics_lookup(df: DataFrame, economics: DataFrame, model: str = "model_id
     canon = priced.select(F.col("model_identifier").alias("_n_id"), F.col("_base").alias("_n_base"), F.col("_floor").alias("_n_floor"))
     joined = (
         df.withColumn("_canonical", canonical_model_id(model))
-        .join(bounded_broadcast(raw), F.col(model) == F.col("_r_id"), "left")
-        .join(bounded_broadcast(canon), F.col("_canonical") == F.col("_n_id"), "left")
+        .join(raw, F.col(model) == F.col("_r_id"), "left")
+        .join(canon, F.col("_canonical") == F.col("_n_id"), "left")
     )
     return joined.select(
         *df.columns,
@@ -102,7 +101,7 @@ def token_weights(df: DataFrame, weights: DataFrame) -> DataFrame:
     if not defaults:
         raise ValueError(f"the weights table has no {DEFAULT_CHALLENGE_TYPE!r} row")
     dim = weights.select(F.col("challenge_type").alias("_type"), *[F.col(w).alias(f"_{w}") for w in ("w_in", "w_out", "w_think")])
-    joined = df.join(bounded_broadcast(dim), F.col("challenge_type") == F.col("_type"), "left")
+    joined = df.join(dim, F.col("challenge_type") == F.col("_type"), "left")
     out = []
     for name, key in (("w_in", "W_in"), ("w_out", "W_out"), ("w_think", "W_think")):
         base = F.coalesce(F.col(f"_{name}"), F.lit(float(defaults[0][name])))

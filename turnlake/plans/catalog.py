@@ -587,12 +587,12 @@ def _(spark, sf):
     f"""with {Q.FILES}, {_KEPT}, per as (select workspace, count(*) as files, cast(sum(strlen(body)) as bigint) as total_bytes from kept group by 1),
     w as (select distinct workspace, {_N} as n from files)
     select w.workspace, coalesce(files, 0) as files, coalesce(total_bytes, 0) as total_bytes, case when n = 3 then 'src/en/main.GO' end as missing_entry,
-      case when n = 2 then 'invalid_glob' when coalesce(files, 0) = 0 then 'no_files' when total_bytes > 40000 then 'too_large'
+      case when n = 2 then 'invalid_glob' when coalesce(files, 0) = 0 then 'no_files' when total_bytes > 8388608 then 'too_large'
         when n = 3 then 'missing_entry_point' else 'ok' end as verdict from w left join per p on p.workspace = w.workspace""",
 )
 def _(spark, sf):
     files = fx.files(spark, sf)
-    return C.validate_bundles(files, _levels_of(files), ["workspace"], max_bytes=40_000)
+    return C.validate_bundles(files, _levels_of(files), ["workspace"])
 
 
 @query(
@@ -928,11 +928,11 @@ def _(spark, sf):
 
 @query(
     "first_case_file",
-    f"""with {Q.FILES}, c as (select workspace, 'tests/public/' || case when doc_id % 17 = 3 then 'cases' else 'x' || doc_id end || '.json' as path from files where doc_id % 3 = 0 or doc_id % 17 = 3)
+    f"""with {Q.FILES}, c as (select workspace, 'tests/public/' || case when doc_id % 17 = 3 then 'cases' else 'x' || doc_id end || '.json' as path from files)
     select workspace, coalesce(min(path) filter (where path = 'tests/public/cases.json'), min(path)) as case_file from c group by 1""",
 )
 def _(spark, sf):
-    files = fx.files(spark, sf).where((F.col("doc_id") % 3 == 0) | (F.col("doc_id") % 17 == 3))
+    files = fx.files(spark, sf)
     name = F.when(F.col("doc_id") % 17 == 3, F.lit("cases")).otherwise(F.concat(F.lit("x"), F.col("doc_id").cast("string")))
     return G.first_case_file(files.withColumn("path", F.concat(F.lit("tests/public/"), name, F.lit(".json"))), ["workspace"])
 
@@ -1173,7 +1173,7 @@ def _(spark, sf):
             F.create_map(F.lit("W_in"), F.lit(0.5)).alias("token_weight_overrides"),
         )
     )
-    docs = items.select("item_id", F.when(m == 1, F.substr("text", F.lit(1), F.lit(20))).otherwise(doc).alias("doc"))
+    docs = items.select("item_id", F.when(m == 1, F.col("text")).otherwise(doc).alias("doc"))
     ok, bad = tables.parse_manifests(docs)
     return ok.select("item_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("item_id", "reason"))
 
