@@ -137,6 +137,8 @@ class Items:
     def __post_init__(self) -> None:
         keep = [k for k, w in enumerate(self.words) if len(w)]
         self.ids, self.words = [self.ids[k] for k in keep], [self.words[k] for k in keep]
+        self.lists = [w.tolist() for w in self.words]
+        self.bags = [frozenset(w) for w in self.lists]
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.need = np.array([runs_kept(int(n)) for n in self.n], np.int64)
         self.q = np.array([run_words(int(n)) for n in self.n], np.int64)
@@ -214,7 +216,11 @@ class Items:
                 s, size = int(start[w]), int(length[w])
                 where = (int(first[s]), k)
                 most = min(allowed(int(self.n[k])), best[where][0] - 1 if where in best else 1 << 30)
-                if most >= 0 and (d := edit_distance(self.words[k].tolist(), h[s : s + size].tolist(), most)) <= most:
+                if most < 0:
+                    continue
+                window = h[s : s + size].tolist()
+                # Each word that the item lacks is an edit of its own.
+                if size - sum(map(self.bags[k].__contains__, window)) <= most and (d := edit_distance(self.lists[k], window, most)) <= most:
                     best[where] = (d, s, size)
         return best
 
