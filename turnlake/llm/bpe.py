@@ -133,7 +133,7 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.text_of_id = {i: s for s, i in [*v.items(), *self.special.items()]}
         self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self.pieces: Cache[tuple[bytes, str]] = Cache(self.piece, limit=400_000)
+        self.pieces: Cache[tuple[bytes, str]] = Cache(self.piece, limit=300_000)
 
     def word(self, word: str) -> list[int]:
         """Ids of one pre-token, already in the byte alphabet."""

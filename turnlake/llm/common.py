@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from typing import TypeVar
+from typing import ClassVar, TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,15 +43,25 @@ class Cache(dict[str, V]):
     """Values by string, computed when missing, of two bounded generations.
 
     When the young generation is full it becomes the old one, so memory is
-    bounded and what is used often stays.  Very long keys are never kept.
+    bounded and what is used often stays.  Very long keys are never kept.  A
+    worker serves one operator after another: the cache that misses is the one
+    in use, and empties the one before it.
     """
 
+    in_use: ClassVar[Cache | None] = None
+
     def __init__(self, compute: Callable[[str], V], limit: int = 150_000, longest: int = 64) -> None:
         super().__init__()
         self.compute, self.limit, self.longest = compute, limit, longest
         self.old: dict[str, V] = {}
 
     def __missing__(self, key: str) -> V:
+        before = Cache.in_use
+        if before is not self:
+            if before is not None:
+                before.clear()
+                before.old = {}
+            Cache.in_use = self
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)

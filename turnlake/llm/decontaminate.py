@@ -54,7 +54,7 @@ def _word_hash(piece: str) -> int:
     return (xxhash.xxh3_64_intdigest(word) | 1) if word else 0
 
 
-_HASHES: Cache[int] = Cache(_word_hash, limit=500_000)
+_HASHES: Cache[int] = Cache(_word_hash, limit=300_000)
 
 
 def words_of(text: str) -> np.ndarray:

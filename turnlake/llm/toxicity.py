@@ -50,7 +50,7 @@ def fold_piece(piece: str) -> str:
 
 
 #: Folded pieces; each worker has its own.
-_FOLDED: Cache[str] = Cache(fold_piece, limit=400_000)
+_FOLDED: Cache[str] = Cache(fold_piece, limit=300_000)
 
 
 def fold(text: str) -> str:
