@@ -1,5 +1,5 @@
 """Pairing: inline cases, a sequential re-statement of the rule on random
-bursts, and the wave path for islands larger than one task."""
+bursts, silences that cut an island, and an island of a million rows."""
 
 import math
 import random
@@ -8,7 +8,8 @@ import pytest
 from helpers import raw
 from pyspark.sql import functions as F
 
-from turnlake.operators.correlate import correlate, pairing_fates, with_flush_time
+from turnlake.operators import matching
+from turnlake.operators.correlate import _Part, arrival_gap, correlate, islands, pairing_fates, with_flush_time
 from turnlake.operators.dedup import keep_first
 
 T = 1700000000000
@@ -167,9 +168,11 @@ def bursts(seed, n=400, caps=3, span=400_000):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "max_rows", "span"), [(1, 200_000, 4_000_000), (2, 200_000, 100_000), (3, 40, 400_000), (4, 25, 60_000)])
-def test_same_fates_as_sequential_code(spark, seed, max_rows, span):
+@pytest.mark.parametrize(("seed", "span", "late"), [(1, 4_000_000, 0), (2, 100_000, 0), (3, 400_000, 0), (4, 60_000, 0), (5, 60_000, 200_000), (6, 10_000, 90_000)])
+def test_same_fates_as_sequential_code(spark, seed, span, late):
     rows = bursts(seed, span=span)
+    for r in rows:  # arrivals in waves, with silences about as long as the memory
+        r["arr"] += r["seq"] % 3 * late
     df = raw(
         spark,
         [
@@ -183,8 +186,57 @@ def test_same_fates_as_sequential_code(spark, seed, max_rows, span):
     unique = with_flush_time(keep_first(df))
     seq = {(r.capture_id, r.dedup_id): r.arrival_seq for r in unique.collect()}
     got = {}
-    for r in pairing_fates(unique, max_rows=max_rows).collect():
+    for r in pairing_fates(unique).collect():
         key = seq[(r.capture_id, r.key)]
         assert key not in got, "one fate per observation"
         got[key] = (r.fate, seq.get((r.capture_id, r.partner)))
     assert got == sequential(rows)
+
+
+def test_a_silence_of_arrivals_cuts_an_island(spark):
+    at = [0, 5_000, 10_000, 10_000 + 3 * arrival_gap(1000)]
+    rows = raw(spark, [dict(source=("otel", "jsonl")[i % 2], timestamp_ms=T + i, arrival_ms=T + a, event_id=f"e{i}") for i, a in enumerate(at)])
+    rows = rows.select("capture_id", "source", F.expr("timestamp_ms div 15000").alias("bucket"), F.expr(f"arrival_ms div {arrival_gap(1000)}").alias("arrival_bucket"))
+    got = islands(rows).collect()
+    assert len({r.island for r in got}) == 1 and len({r.part for r in got}) == 2
+    assert not max(got, key=lambda r: r.part).two_sided
+
+
+def test_an_island_of_a_million_rows(spark):
+    """Half a million turns of one capture without a gap, both logs of each, in one sorted stream."""
+    n = 500_000
+    i = F.col("id")
+    known = {"capture_id": F.lit("c"), "model": F.lit("m"), "tokens_input": i % 997 * 100, "tokens_output": i % 1009 * 200, "tokens_cache": F.lit(0), "timestamp_ms": T + i * 100}
+    one = spark.range(n).withColumns({k: v.cast("string") if k in ("capture_id", "model") else v.cast("bigint") for k, v in known.items()})
+    sides = [one.select("*", F.lit(s).alias("source"), (F.col("timestamp_ms") + d).alias("arrival_ms"), (2 * i + k).alias("arrival_seq")) for k, (s, d) in enumerate((("jsonl", 50), ("otel", 3_000)))]
+    both = sides[0].unionByName(sides[1]).withColumn("dedup_id", F.concat("source", F.col("id").cast("string")))
+    fates = pairing_fates(with_flush_time(both))
+    partner = F.concat(F.when(F.col("key").startswith("otel"), "jsonl").otherwise("otel"), F.regexp_extract("key", "[0-9]+$", 0))
+    counts = fates.agg(F.count("*").alias("n"), F.count_if((F.col("fate") == "pair") & (F.col("partner") == partner)).alias("paired")).first()
+    assert (counts.n, counts.paired) == (2 * n, 2 * n)
+
+
+def test_state_holds_only_what_may_still_pair():
+    part = _Part(("c", 0, 0), 1000)
+    most = 0
+    for i in range(20_000):
+        arrival = T + i * 1000
+        part.take(("c", 0, 0, f"k{i}", "otel", "m", i, i, 0, arrival, arrival, i, arrival + 20_000))
+        most = max(most, len(part.rows), *(len(p.by_time) for p in (part.state.waiting["otel"], part.state.memory["otel"])))
+    assert most <= 62
+
+
+def test_bursts_of_copies_are_matched_in_one_look(monkeypatch):
+    """Thousands of equal turns at one time: the comparisons follow the arrivals, not their square."""
+    seen = []
+    agree_before = matching.tokens_agree
+    monkeypatch.setattr(matching, "tokens_agree", lambda a, b: seen.append(1) or agree_before(a, b))
+    state, n = matching.PairingState(), 3000
+    make = lambda i, source, at: matching.Seen((at, i, ""), f"{source}{i}", source, None, 500, 500, 0, T + i % 7, at + 20_000)
+    for i in range(n):
+        state.arrive(make(i, "otel", T), T)
+    gave_up = state.advance(T + 20_000)
+    late = [state.arrive(make(i, "jsonl", T + 30_000), T + 30_000)[0] for i in range(n)]
+    assert [f.fate for f in gave_up] == ["single"] * n and [f.fate for f in late] == ["suppressed"] * n
+    assert [f.partner.place for f in late] == sorted(f.seen.place for f in gave_up)
+    assert len(seen) <= 4 * n

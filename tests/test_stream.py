@@ -91,14 +91,55 @@ def test_transcript_stream_carries_prompts_over_chunks(spark, tmp_path):
     assert {(r.event_id, r.prompt_id) for r in got.collect()} == {("m1", "u0"), ("m2", "u0"), ("m3", "u1"), ("m4", "u1"), ("m5", "u2")}
 
 
-def test_dedup_and_feed(spark, sf_dir, tmp_path):
+def test_dedup_never_forgets(spark, sf_dir, tmp_path):
     rows = fx.raw_turns(spark, sf_dir).where("source = 'jsonl'").select(*RAW_TURN.fieldNames())
-    # Old turns come after new ones, a file at a time: all of them count.
-    for part, old in enumerate((rows, rows.withColumn("timestamp_ms", F.col("timestamp_ms") - 90 * 86_400_000).withColumn("event_id", F.concat("event_id", F.lit("-old"))))):
-        old.coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
-    stream = spark.readStream.schema(RAW_TURN).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    got = run(ingest.stream_dedup(stream), tmp_path, "unique")
-    assert got.count() == keep_first(spark.read.schema(RAW_TURN).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))).count()
+    again = rows.withColumn("arrival_ms", F.col("arrival_ms") + 30 * 86_400_000)  # copies, a month later
+    # Old turns come after new ones, a run at a time: all of them count.
+    old = rows.withColumn("timestamp_ms", F.col("timestamp_ms") - 90 * 86_400_000).withColumn("event_id", F.concat("event_id", F.lit("-old")))
+    stream = lambda: ingest.stream_dedup(ingest.stream_raw_turns(spark, str(tmp_path / "in" / "*")), buckets=4)
+    for part, more in enumerate((rows, again, old)):
+        more.coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+        writer = stream().writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(stream().schema).parquet(str(tmp_path / "out"))
+    want = keep_first(rows.unionByName(again).unionByName(old))
+    names = ["capture_id", "dedup_id", "arrival_ms", "arrival_seq", "tokens_thinking", "cost_usd"]
+    assert got.columns == stream().columns and same(got.select(*names), want.select(*names))
+
+
+def test_drain_gives_what_still_waits(spark, sf_dir, tmp_path):
+    rows = fx.raw_turns(spark, sf_dir).where("capture_id in ('cap-1', 'cap-2', 'cap-3')").select(*RAW_TURN.fieldNames())
+    unique = keep_first(rows).select(*RAW_TURN.fieldNames())
+    for part in range(3):
+        span = F.expr(f"(arrival_ms - {fx.EPOCH}) div 900000")
+        unique.where(F.least(F.greatest(span, F.lit(0)), F.lit(2)) == part).coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+        stream = pairing.correlate_stream(ingest.stream_raw_turns(spark, str(tmp_path / "in" / "*")), idle_flush=False)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out"))
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+    emitted = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    left = pairing.drain(spark, str(tmp_path / "state"))
+    assert left.count() > 0 and left.where("size(sources) > 1").count() == 0
+    flat = [*COLUMNS, "emitted_ms"]
+    assert same(emitted.select(*flat).unionByName(left.select(*flat)), correlate(rows).select(*flat))
+
+
+def test_state_is_written_by_the_arrivals(spark, tmp_path):
+    """A batch of few arrivals writes few entries, however many still wait."""
+    t = 1_700_000_000_000
+    waiting = [dict(source="jsonl", timestamp_ms=t + i, arrival_ms=t + i, tokens_output=1000 * i, event_id=f"e{i}") for i in range(400)]
+    few = [dict(source="otel", timestamp_ms=t + 500, arrival_ms=t + 500 + i, tokens_output=1000 * i, event_id=f"o{i}") for i in (3, 5)]
+    updated = []
+    for part, rows in enumerate((waiting, few)):
+        raw(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+        stream = pairing.correlate_stream(ingest.stream_raw_turns(spark, str(tmp_path / "in" / "*")), idle_flush=False)
+        writer = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state"))
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        state = query.lastProgress["stateOperators"][0]
+        updated.append((state["numRowsTotal"], state["numRowsUpdated"] + state["numRowsRemoved"]))
+    assert updated[0][1] >= 400
+    assert updated[1][1] <= 10 and updated[1][0] >= 398
 
 
 def test_store_is_idempotent(spark, sf_dir, tmp_path):

@@ -4,7 +4,7 @@ from helpers import raw
 from pyspark.sql import functions as F
 
 from turnlake.operators.correlate import merged_spans, with_flush_time
-from turnlake.operators.intervals import join_intervals
+from turnlake.operators.intervals import join_disjoint
 from turnlake.operators.sessions import attribute
 from turnlake.plans.capture import capture, expected_spans
 
@@ -40,8 +40,21 @@ def test_far_timestamps_neither_fail_nor_match(spark):
     assert with_flush_time(rows).count() == 4
 
 
-def test_intervals_repeat_over_points_only(spark):
-    points = spark.createDataFrame([("k", t) for t in (0, 10**18)], "key string, at long")
-    spans = spark.createDataFrame([("k", 0, None), ("k", 5, 10**18)], "key string, a long, b long")
-    got = join_intervals(points, "at", spans, "a", "b", ["key"])
-    assert sorted((r["at"], r["a"]) for r in got.collect()) == [(0, 0), (10**18, 0), (10**18, 5)]
+def test_points_lie_in_the_last_interval_that_begins_before(spark):
+    points = spark.createDataFrame([("k", t, n) for n, t in enumerate((-10**18, -1, 0, 4, 5, 10**18, 10**18 + 1, None))] + [("other", 3, 8), (None, 3, 9)], "key string, at long, n int")
+    spans = spark.createDataFrame([("k", -1, -1), ("k", 0, 4), ("k", 5, 10**18), ("other", 4, None), (None, 0, None)], "key string, a long, b long")
+    got = {r.n: r.a for r in join_disjoint(points, "at", spans, "a", "b", ["key"], how="left", bucket_ms=3).collect()}
+    assert got == {0: None, 1: -1, 2: 0, 3: 0, 4: 5, 5: 5, 6: None, 7: None, 8: None, 9: None}
+    inner = join_disjoint(points, "at", spans, "a", "b", ["key"], condition=F.col("n") % 2 == 0).collect()
+    assert sorted((r.n, r.a, r.b) for r in inner) == [(2, 0, 4), (4, 5, 10**18)]
+
+
+def test_many_windows_and_points_of_one_capture(spark):
+    """Far more pairs than could be formed: a hundred thousand points and as many windows of one key."""
+    n = 100_000
+    points = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") * 7).alias("at"))
+    spans = spark.range(n).select(F.lit("k").alias("key"), (F.col("id") * 7 - 3).alias("a"), (F.col("id") * 7 + F.col("id") % 2 * 3 - 1).alias("b"))
+    got = join_disjoint(points, "at", spans, "a", "b", ["key"])
+    assert got.where("at - a = 3 and at <= b").count() == got.count() == n // 2
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -4,9 +4,11 @@ The pairing itself is greedy in arrival order (:mod:`.matching`).  What Spark
 does here is find the groups inside which it must be sequential.  Two
 observations can only interact when their event times are within the pairing
 window, so a tenant's time line is cut wherever a whole window-sized bucket is
-empty.  The resulting *islands* are independent; those seen by one source only
-never need pairing at all.  An island too large for one task is replayed in
-bounded waves that hand over the waiting turns.
+empty.  The resulting *islands* are independent.  An island is cut once more
+wherever nothing arrives for longer than an observation can wait and be
+remembered.  Parts seen by one source only need no pairing at all; the others
+stream through sorted partitions, where memory holds what may still pair and
+nothing that is decided.
 """
 
 from __future__ import annotations
@@ -21,18 +23,16 @@ from pyspark.sql import functions as F
 from turnlake.functions.numbers import saturating_add
 from turnlake.functions.text import blank_to_null
 from turnlake.operators.dedup import keep_first
-from turnlake.operators.intervals import join_intervals
-from turnlake.operators.matching import HOLD_MS, TOKEN_FRACTION, TOKEN_SLACK, WINDOW_MS, PairingState, Seen
+from turnlake.operators.intervals import join_disjoint
+from turnlake.operators.matching import HOLD_MS, MEMORY_MS, TOKEN_FRACTION, TOKEN_SLACK, WINDOW_MS, PairingState, Seen
 from turnlake.operators.normalize import confidence, plausibility, resolved_model, single_agreement
-from turnlake.operators.segments import BLOCK, range_blocks
 from turnlake.schemas import AGREEMENT, CORRELATED_SOURCES, TURN_COLUMNS, TURN_SCHEMA_VERSION
 from turnlake.session import cut_lineage
 
 TICK_MS = 1000
-MAX_ISLAND_ROWS = 200_000
 
 _ARRIVAL = (
-    "capture_id string, island bigint, key string, source string, model string, tin bigint, tout bigint, "
+    "capture_id string, island bigint, part bigint, key string, source string, model string, tin bigint, tout bigint, "
     "cache bigint, ts bigint, arrival_ms bigint, arrival_seq bigint, flush_ms bigint"
 )
 _FATE = _ARRIVAL + ", fate string, partner string, at_ms bigint"
@@ -85,46 +85,48 @@ def with_flush_time(raw: DataFrame, otel_expected: DataFrame | None = None, tick
     if otel_expected is None:
         return raw.withColumn("flush_ms", held)
     spans = merged_spans(otel_expected.select("capture_id", "open_ms", "close_ms"))
-    known = join_intervals(raw, "arrival_ms", spans, "open_ms", "close_ms", ["capture_id"], how="left")
+    known = join_disjoint(raw, "arrival_ms", spans, "open_ms", "close_ms", ["capture_id"], how="left")
     flush = F.when(
         F.col("open_ms").isNotNull(), F.least(held, F.coalesce(F.col("close_ms"), held))
     ).otherwise(_ceil_tick(_near(F.col("arrival_ms")), tick_ms))
     return known.withColumn("flush_ms", flush).drop("open_ms", "close_ms")
 
 
+def arrival_gap(tick_ms: int) -> int:
+    """After a silence of this long nothing waits or is remembered any more."""
+    return HOLD_MS + MEMORY_MS + 2 * tick_ms
+
+
 def islands(arrivals: DataFrame) -> DataFrame:
-    """``(capture_id, bucket)`` -> island, its row count and whether both sources
-    are in it.
+    """``(capture_id, bucket, arrival_bucket)`` -> island, part of it and
+    whether both sources are in that part.
 
-    Works on one row per occupied bucket (pre-aggregated), so a tenant costs its
-    time span, not its rows.
+    Works on one row per occupied pair of buckets (pre-aggregated), so a tenant
+    costs its time span, not its rows.
     """
-    buckets = arrivals.groupBy("capture_id", "bucket").agg(
-        F.count("*").alias("n"),
-        F.bool_or(F.col("source") == "otel").alias("o"),
-        F.bool_or(F.col("source") == "jsonl").alias("j"),
+    buckets = arrivals.groupBy("capture_id", "bucket", "arrival_bucket").agg(
+        F.bool_or(F.col("source") == "otel").alias("o"), F.bool_or(F.col("source") == "jsonl").alias("j")
     )
-    line = W.partitionBy("capture_id").orderBy("bucket")
-    gap = F.coalesce(F.col("bucket") - F.lag("bucket").over(line) > 1, F.lit(True))
-    starts = buckets.withColumn("_start", F.when(gap, F.col("bucket")))
-    upto = line.rowsBetween(W.unboundedPreceding, W.currentRow)
-    marked = starts.withColumn("island", F.last("_start", ignorenulls=True).over(upto))
-    whole = W.partitionBy("capture_id", "island")
-    return marked.select(
-        "capture_id",
-        "bucket",
-        "island",
-        F.sum("n").over(whole).alias("island_rows"),
-        (F.max("o").over(whole) & F.max("j").over(whole)).alias("two_sided"),
+    cut = _runs(_runs(buckets, ["capture_id"], "bucket", "island"), ["capture_id", "island"], "arrival_bucket", "part")
+    whole = W.partitionBy("capture_id", "island", "part")
+    return cut.select(
+        "capture_id", "bucket", "arrival_bucket", "island", "part", (F.max("o").over(whole) & F.max("j").over(whole)).alias("two_sided")
     )
 
 
+def _runs(buckets: DataFrame, keys: list[str], bucket: str, name: str) -> DataFrame:
+    """Add the first of each run of neighbouring buckets."""
+    line = W.partitionBy(*keys).orderBy(bucket)
+    starts = buckets.withColumn("_start", F.when(F.coalesce(F.col(bucket) - F.lag(bucket).over(line) > 1, F.lit(True)), F.col(bucket)))
+    return starts.withColumn(name, F.max("_start").over(line.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_start")
+
+
 _ARRIVAL_NAMES = [f.split()[0] for f in _ARRIVAL.split(", ")]
 _FATE_NAMES = [f.split()[0] for f in _FATE.split(", ")]
 
 
-class _Island:
-    """The replay of one island; ``rows`` keeps what is reported back."""
+class _Part:
+    """The replay of one part of an island; ``rows`` keeps what is not reported yet."""
 
     def __init__(self, key: tuple, tick_ms: int) -> None:
         self.key = key
@@ -132,89 +134,46 @@ class _Island:
         self.rows: dict[tuple, tuple] = {}
 
     def _out(self, fates: list) -> list[tuple]:
-        # A decided observation is reported once; a remembered one may still be
-        # needed as another's partner, which only takes its key.
-        return [(*self.rows[f.seen.place], f.fate, f.partner.key if f.partner else None, f.at) for f in fates]
+        # Everyone is reported once.  A remembered observation may still be
+        # another's partner, which only takes its key.
+        return [(*self.rows.pop(f.seen.place), f.fate, f.partner.key if f.partner else None, f.at) for f in fates]
 
-    def take(self, row: tuple, status: str | None) -> list[tuple]:
-        _, _, key, source, model, tin, tout, cache, ts, arrival, seq, flush = row
+    def take(self, row: tuple) -> list[tuple]:
+        _, _, _, key, source, model, tin, tout, cache, ts, arrival, seq, flush = row
         seen = Seen((arrival, seq, key), key, source, model, tin, tout, cache, ts, flush)
         self.rows[seen.place] = row
-        if status == "waiting":
-            self.state.wait(seen)
-            return []
-        if status == "remembered":
-            self.state.remember(seen)
-            return []
-        return self._out(self.state.advance(arrival) + self.state.arrive(seen, arrival))
-
-    def finish(self, last: bool) -> list[tuple]:
-        out = [
-            (*self.rows[s.place], "single" if last else "waiting", None, s.flush) for s in self.state.still_waiting()
-        ]
-        if not last:
-            out += [(*self.rows[s.place], "remembered", None, None) for s in self.state.still_remembered()]
-        return out
-
-
-def _play(batches: Iterator[pd.DataFrame], tick_ms: int, last: bool) -> Iterator[pd.DataFrame]:
-    """Replay the islands of one partition, one after the other."""
-    island = None
+        return self._out(self.state.advance(arrival)) + self._out(self.state.arrive(seen, arrival))
+
+    def finish(self) -> list[tuple]:
+        return [(*self.rows[s.place], "single", None, s.flush) for s in self.state.still_waiting()]
+
+
+def _play(batches: Iterator[pd.DataFrame], tick_ms: int) -> Iterator[pd.DataFrame]:
+    """Replay the parts of one partition, one after the other."""
+    part = None
     for pdf in batches:
         out: list[tuple] = []
-        columns = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in [*_ARRIVAL_NAMES, "status"]]
-        for *row, status in zip(*columns):
-            if island is None or island.key != (row[0], row[1]):
-                if island is not None:
-                    out += island.finish(last)
-                island = _Island((row[0], row[1]), tick_ms)
-            out += island.take(tuple(row), status)
+        columns = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in _ARRIVAL_NAMES]
+        for row in zip(*columns):
+            if part is None or part.key != row[:3]:
+                if part is not None:
+                    out += part.finish()
+                part = _Part(row[:3], tick_ms)
+            out += part.take(row)
         if out:
             yield pd.DataFrame(out, columns=_FATE_NAMES)
-    if island is not None:
-        yield pd.DataFrame(island.finish(last), columns=_FATE_NAMES)
-
-
-def _replay(rows: DataFrame, tick_ms: int, last: bool) -> DataFrame:
-    """Islands are hashed to partitions and streamed in arrival order; rows an
-    earlier wave handed over come first."""
-    carried_first = F.col("status").isNull()
-    ordered = rows.repartition("capture_id", "island").sortWithinPartitions(
-        "capture_id", "island", carried_first, "arrival_ms", "arrival_seq", "key"
-    )
-    return ordered.select(*_ARRIVAL_NAMES, "status").mapInPandas(lambda it: _play(it, tick_ms, last), _FATE)
+    if part is not None:
+        yield pd.DataFrame(part.finish(), columns=_FATE_NAMES)
 
 
-def _replay_in_waves(rows: DataFrame, n_rows: int, tick_ms: int, max_rows: int) -> DataFrame:
-    """Replay islands larger than ``max_rows`` piece by piece, in arrival order.
-
-    Each wave takes the next range-partitioned piece of every such island plus
-    what the wave before handed over, so no task sees more than a piece.
-    """
-    pieces = max(1, -(-n_rows // max_rows))
-    cut = range_blocks(rows, ["capture_id", "island"], ["arrival_ms", "arrival_seq", "key"], pieces)
-    order = W.partitionBy("capture_id", "island").orderBy(BLOCK)
-    wave = cut.select("capture_id", "island", BLOCK).distinct().withColumn("_wave", F.row_number().over(order) - 1)
-    cut = cut_lineage(cut.join(wave, ["capture_id", "island", BLOCK]))
-    last_wave = cut.agg(F.max("_wave")).first()[0] or 0
-    carried, done = None, None
-    for k in range(last_wave + 1):
-        part = cut.where(F.col("_wave") == k).drop(BLOCK, "_wave").withColumn("status", F.lit(None).cast("string"))
-        if carried is not None:
-            part = part.unionByName(carried)
-        played = cut_lineage(_replay(part, tick_ms, last=False))
-        handed = F.col("fate").isin("waiting", "remembered")
-        done_now = played.where(~handed)
-        done = done_now if done is None else done.unionByName(done_now)
-        carried = played.where(handed).withColumnRenamed("fate", "status").drop("partner", "at_ms")
-    left = carried.where(F.col("status") == "waiting").drop("status")
-    left = left.withColumns(
-        {"fate": F.lit("single"), "partner": F.lit(None).cast("string"), "at_ms": F.col("flush_ms")}
-    )
-    return done.unionByName(left)
+def _replay(rows: DataFrame, tick_ms: int) -> DataFrame:
+    """Parts are hashed to partitions and streamed in arrival order."""
+    part = ["capture_id", "island", "part"]
+    ordered = rows.repartition(*part).sortWithinPartitions(*part, "arrival_ms", "arrival_seq", "key")
+    return ordered.select(*_ARRIVAL_NAMES).mapInPandas(lambda it: _play(it, tick_ms), _FATE)
 
 
-def pairing_fates(unique: DataFrame, tick_ms: int = TICK_MS, max_rows: int = MAX_ISLAND_ROWS) -> DataFrame:
+def pairing_fates(unique: DataFrame, tick_ms: int = TICK_MS) -> DataFrame:
     """Fate of every observation of the two correlating sources.
 
     ``unique`` is de-duplicated and has ``flush_ms``.  Result: ``capture_id,
@@ -233,9 +192,10 @@ def pairing_fates(unique: DataFrame, tick_ms: int = TICK_MS, max_rows: int = MAX
         "arrival_seq",
         "flush_ms",
         F.expr(f"timestamp_ms div {WINDOW_MS}").alias("bucket"),
+        F.expr(f"arrival_ms div {arrival_gap(tick_ms)}").alias("arrival_bucket"),
     )
-    line = cut_lineage(islands(arrivals))  # a few rows per tenant, read twice
-    placed = arrivals.join(line, ["capture_id", "bucket"]).drop("bucket")
+    line = cut_lineage(islands(arrivals))  # a few rows per tenant, not computed again for each branch
+    placed = arrivals.join(line, ["capture_id", "bucket", "arrival_bucket"]).drop("bucket", "arrival_bucket")
     alone = placed.where(~F.col("two_sided")).select(
         "capture_id",
         "key",
@@ -243,14 +203,7 @@ def pairing_fates(unique: DataFrame, tick_ms: int = TICK_MS, max_rows: int = MAX
         F.lit(None).cast("string").alias("partner"),
         F.col("flush_ms").alias("at_ms"),
     )
-    shared = placed.where("two_sided")
-    small = shared.where(F.col("island_rows") <= max_rows).select(*_ARRIVAL_NAMES)
-    played = _replay(small.withColumn("status", F.lit(None).cast("string")), tick_ms, last=True)
-    giants = line.where(F.col("two_sided") & (F.col("island_rows") > max_rows))
-    n_giant = giants.dropDuplicates(["capture_id", "island"]).agg(F.sum("island_rows")).first()[0]
-    if n_giant:
-        giant = shared.where(F.col("island_rows") > max_rows).select(*_ARRIVAL_NAMES)
-        played = played.unionByName(_replay_in_waves(giant, n_giant, tick_ms, max_rows))
+    played = _replay(placed.where("two_sided"), tick_ms)
     return played.select("capture_id", "key", "fate", "partner", "at_ms").unionByName(alone)
 
 
@@ -317,7 +270,6 @@ def correlate(
     raw: DataFrame,
     otel_expected: DataFrame | None = None,
     tick_ms: int = TICK_MS,
-    max_rows: int = MAX_ISLAND_ROWS,
 ) -> DataFrame:
     """Raw observations -> turns: de-duplicate, pair, merge, pass the rest on.
 
@@ -326,7 +278,7 @@ def correlate(
     the twins move again.
     """
     unique = cut_lineage(with_flush_time(keep_first(raw), otel_expected, tick_ms))
-    fates = pairing_fates(unique, tick_ms, max_rows)
+    fates = pairing_fates(unique, tick_ms)
     fates = cut_lineage(fates.withColumnRenamed("key", "dedup_id").repartition("capture_id", "dedup_id"))
     twins = (
         unique.where(F.col("source") == "jsonl")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlake.operators.attempts import KEY, MAX_PROMPTS, benign_drift, cross_source_summary, prompt_count
+from turnlake.operators.paths import watched_changes
 
 # Fixed values of the pacing and bulk-paste rules.
 BURST_WINDOW_MS = 10_000
@@ -54,6 +55,12 @@ def listed_changes(changes: DataFrame, levels: DataFrame) -> DataFrame:
     return joined.where(F.exists("_l_rules", lambda rx: F.regexp_like(path, rx))).select(*changes.columns)
 
 
+def provenance_changes(changes: DataFrame, roots: DataFrame, ignores: DataFrame, levels: DataFrame, builtin: list[str]) -> DataFrame:
+    """The changes that count as provenance, with the path inside the workspace: watched, then listed."""
+    listed = listed_changes(watched_changes(changes, roots, ignores, builtin), levels)
+    return listed.withColumn("path", F.col("rel_path")).drop("rel_path")
+
+
 def bulk_pastes(changes: DataFrame) -> DataFrame:
     """Bulk-replacement signals out of file-change events, of listed files.
 

@@ -1,25 +1,29 @@
 """Tamper-evident ledger heads and chain messages.
 
 A hash chain is sequential within its session.  The links before the hashing -
-the canonical encodings - are columns; the chain itself is advanced in waves of
-at most ``wave_rows`` turns per session, each wave starting from the heads the
-one before left.  Ordinary sessions finish in the first wave.
+the canonical encodings - are columns; the chain itself runs along one sorted
+partition with the last digest as its only state, so a session of any length is
+one pass and is never gathered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.operators.attempts import KEY
 from turnlake.operators.segments import lag_value, position_blocks, range_blocks, row_index, with_ordered
-from turnlake.session import cut_lineage
 
 # Fixed values of the ledger format.
 LEDGER_VERSION = 1
 SEP = "\u001f"
 CHAIN_VERSION = 4
-WAVE_ROWS = 20_000
 
 
 def turn_index(turns: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -63,37 +67,33 @@ def genesis(domain: str) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def ledger_heads(sessions: DataFrame, turns: DataFrame, domain: str, wave_rows: int = WAVE_ROWS) -> DataFrame:
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heads out of rows sorted by session, its first link ahead of its turns."""
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+    for (capture, attempt), links in groupby(rows, itemgetter(0, 1)):
+        head, count = None, 0
+        for _, _, is_turn, text in links:
+            if not is_turn:
+                head = text
+            elif head is not None:
+                head = sha256(f"{head}{SEP}{text}".encode()).hexdigest()
+                count += 1
+        if head is not None:
+            yield pa.RecordBatch.from_pydict({"capture_id": [capture], "attempt_id": [attempt], "head": [head], "turn_count": [count]})
+
+
+def ledger_heads(sessions: DataFrame, turns: DataFrame, domain: str, order: list[str] | None = None) -> DataFrame:
     """Ledger head of every session.
 
-    ``sessions``: keys and ``started_at_ms``; ``turns``: normalized turns with
-    ``turn_index``; ``domain``: the tag the verifying side uses.
+    ``sessions``: keys and ``started_at_ms``, a row each; ``turns``: normalized
+    turns, chained by ``order`` (by ``turn_index`` where there is one, else in
+    emit order); ``domain``: the tag the verifying side uses.
     """
-    encoded = turns.select(*KEY, "turn_index", canonical_turn().alias("_enc"))
-    encoded = encoded.withColumn("_wave", F.floor(F.col("turn_index") / F.lit(wave_rows)).cast("bigint"))
-    heads = sessions.select(*KEY, genesis(domain).alias("head"), F.lit(0).cast("bigint").alias("turn_count"))
-    last = turns.agg(F.max("turn_index")).first()[0]
-    waves = 0 if last is None else last // wave_rows + 1
-    if waves > 1:
-        encoded = cut_lineage(encoded)
-
-    def link(prev: Column, item: Column) -> Column:
-        return F.sha2(F.concat(prev, F.lit(SEP), item.getField("_enc")).cast("binary"), 256)
-
-    for wave in range(waves):
-        piece = encoded.where(F.col("_wave") == wave).groupBy(*KEY).agg(
-            F.array_sort(F.collect_list(F.struct("turn_index", "_enc"))).alias("_turns")
-        )
-        joined = heads.join(piece, KEY, "left")
-        heads = joined.select(
-            *KEY,
-            F.when(F.col("_turns").isNull(), F.col("head"))
-            .otherwise(F.aggregate("_turns", F.col("head"), link))
-            .alias("head"),
-            (F.col("turn_count") + F.coalesce(F.size("_turns"), F.lit(0))).cast("bigint").alias("turn_count"),
-        )
-        if wave + 1 < waves:
-            heads = cut_lineage(heads)
+    order = order or (["turn_index"] if "turn_index" in turns.columns else ["emitted_ms", "turn_id"])
+    links = turns.select(*KEY, F.lit(True).alias("is_turn"), canonical_turn().alias("text"), *order)
+    begins = sessions.select(*KEY, F.lit(False).alias("is_turn"), genesis(domain).alias("text"))
+    both = begins.unionByName(links, allowMissingColumns=True).repartition(*KEY).sortWithinPartitions(*KEY, "is_turn", *order)
+    heads = both.select(*KEY, "is_turn", "text").mapInArrow(_chain, "capture_id string, attempt_id string, head string, turn_count bigint")
     return heads.withColumn("schema", F.lit(LEDGER_VERSION))
 
 

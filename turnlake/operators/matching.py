@@ -11,6 +11,8 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left, insort
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 # Fixed values of the pairing rule.
@@ -55,38 +57,120 @@ def models_equal(a: Seen, b: Seen) -> bool:
     return a.model is not None and a.model == b.model
 
 
-class _Index:
-    """Observations of one source, findable by time and by output size."""
+class _Pool:
+    """Observations of one source by token counts, so that copies in a burst are one entry to compare.
 
-    def __init__(self) -> None:
+    Observations of the same counts (a *shape*) stay in the order ``rank``.
+    """
+
+    def __init__(self, rank: Callable[[Seen], tuple]) -> None:
+        self.rank = rank
         self.by_time: list[tuple] = []
-        self.by_out: list[tuple] = []
+        self.shapes: list[tuple] = []
+        self.alike: dict[tuple, list[tuple]] = {}
+
+    @staticmethod
+    def shape(s: Seen) -> tuple:
+        return s.tout, s.tin, s.cache
 
     def add(self, s: Seen) -> None:
         insort(self.by_time, (s.ts, s.place, s))
-        insort(self.by_out, (s.tout, s.place, s))
+        shape = self.shape(s)
+        if shape not in self.alike:
+            insort(self.shapes, shape)
+            self.alike[shape] = []
+        insort(self.alike[shape], (*self.rank(s), s))
 
     def drop(self, s: Seen) -> None:
         del self.by_time[bisect_left(self.by_time, (s.ts, s.place))]
-        del self.by_out[bisect_left(self.by_out, (s.tout, s.place))]
+        shape = self.shape(s)
+        same = self.alike[shape]
+        del same[bisect_left(same, self.rank(s))]
+        if not same:
+            del self.alike[shape]
+            del self.shapes[bisect_left(self.shapes, shape)]
+
+    def agreeing(self, s: Seen) -> Iterator[list[tuple]]:
+        """The observations of every shape whose tokens agree with those of ``s``."""
+        low = s.tout - max(TOKEN_SLACK, math.ceil(TOKEN_FRACTION * s.tout))
+        high = max(s.tout + TOKEN_SLACK, int((s.tout + 1) / (1 - TOKEN_FRACTION)) + 1)
+        for shape in self.shapes[bisect_left(self.shapes, (low,)) : bisect_left(self.shapes, (high + 1,))]:
+            same = self.alike[shape]
+            if tokens_agree(same[0][-1], s):
+                yield same
+
+
+class _Waiting(_Pool):
+    """Those that wait for a counterpart; shapes are ordered by time."""
+
+    def __init__(self) -> None:
+        super().__init__(lambda s: (s.ts, s.place))
+
+    def counterpart(self, s: Seen) -> Seen | None:
+        """The nearest by tokens, then time, then arrival; else the only one in the window, if its model is equal."""
+        best = None
+        for same in self.agreeing(s):
+            at = bisect_left(same, (s.ts,))
+            near = [same[at][-1]] if at < len(same) else []
+            if at:  # of those before, the nearest time's first arrival
+                near.append(same[bisect_left(same, (same[at - 1][0],))][-1])
+            for c in near:
+                if abs(c.ts - s.ts) <= WINDOW_MS:
+                    rank = (abs(c.tout - s.tout) + abs(c.tin - s.tin), abs(c.ts - s.ts), c.place)
+                    if best is None or rank < best[0]:
+                        best = rank, c
+        if best is not None:
+            return best[1]
+        a, b = bisect_left(self.by_time, (s.ts - WINDOW_MS,)), bisect_left(self.by_time, (s.ts + WINDOW_MS + 1,))
+        if b - a == 1 and models_equal(self.by_time[a][2], s):
+            return self.by_time[a][2]
+        return None
+
+
+class _Remembered(_Pool):
+    """Those that gave up; shapes and models are ordered by when."""
 
-    def window(self, ts: int) -> tuple[int, int]:
-        return bisect_left(self.by_time, (ts - WINDOW_MS,)), bisect_left(self.by_time, (ts + WINDOW_MS + 1,))
+    def __init__(self) -> None:
+        super().__init__(lambda s: (s.flush, s.place))
+        self.by_model: dict[str, list[tuple]] = {}
+
+    def add(self, s: Seen) -> None:
+        super().add(s)
+        if s.model is not None:
+            insort(self.by_model.setdefault(s.model, []), (s.flush, s.place, s))
 
-    def near_output(self, out: int) -> list[Seen]:
-        low = out - max(TOKEN_SLACK, math.ceil(TOKEN_FRACTION * out))
-        high = max(out + TOKEN_SLACK, int((out + 1) / (1 - TOKEN_FRACTION)) + 1)
-        a, b = bisect_left(self.by_out, (low,)), bisect_left(self.by_out, (high + 1,))
-        return [e[2] for e in self.by_out[a:b]]
+    def drop(self, s: Seen) -> None:
+        super().drop(s)
+        if s.model is not None:
+            same = self.by_model[s.model]
+            del same[bisect_left(same, (s.flush, s.place))]
+            if not same:
+                del self.by_model[s.model]
+
+    def counterpart(self, s: Seen) -> Seen | None:
+        """The first that gave up, in the window, of equal model or agreeing tokens."""
+        best = None
+        for same in chain([self.by_model.get(s.model, [])] if s.model is not None else [], self.agreeing(s)):
+            for flush, place, c in same:
+                if best is not None and best[:2] <= (flush, place):
+                    break
+                if abs(c.ts - s.ts) <= WINDOW_MS:
+                    best = (flush, place, c)
+                    break
+        return best and best[2]
 
 
 class PairingState:
-    """Waiting and remembered observations of one group."""
+    """Waiting and remembered observations of one group.
+
+    Holds what arrived within the hold and memory times before now, nothing
+    that has been decided earlier.
+    """
 
     def __init__(self, tick_ms: int = 1000) -> None:
         self.tick_ms = tick_ms
-        self.waiting = {"otel": _Index(), "jsonl": _Index()}
-        self.memory = {"otel": _Index(), "jsonl": _Index()}
+        self.waiting = {"otel": _Waiting(), "jsonl": _Waiting()}
+        self.memory = {"otel": _Remembered(), "jsonl": _Remembered()}
         self._due: list[tuple] = []
         self._fading: list[tuple] = []
         self._paired: set[tuple] = set()
@@ -120,35 +204,15 @@ class PairingState:
             self.memory[s.source].drop(s)
         return out
 
-    def _counterpart(self, s: Seen, pool: _Index) -> Seen | None:
-        a, b = pool.window(s.ts)
-        if a == b:
-            return None
-        if b - a <= 64:
-            near = [e[2] for e in pool.by_time[a:b]]
-        else:
-            near = [c for c in pool.near_output(s.tout) if abs(c.ts - s.ts) <= WINDOW_MS]
-        agreeing = [c for c in near if tokens_agree(c, s)]
-        if agreeing:
-            return min(agreeing, key=lambda c: (abs(c.tout - s.tout) + abs(c.tin - s.tin), abs(c.ts - s.ts), c.place))
-        if b - a == 1 and models_equal(pool.by_time[a][2], s):
-            return pool.by_time[a][2]
-        return None
-
-    def _late(self, s: Seen, pool: _Index) -> Seen | None:
-        a, b = pool.window(s.ts)
-        alike = [e[2] for e in pool.by_time[a:b] if models_equal(e[2], s) or tokens_agree(e[2], s)]
-        return min(alike, key=lambda c: (c.flush, c.place), default=None)
-
     def arrive(self, s: Seen, now: int) -> list[Fate]:
         """Take one arrival; call :meth:`advance` for ``now`` first."""
         other = "jsonl" if s.source == "otel" else "otel"
-        mate = self._counterpart(s, self.waiting[other])
+        mate = self.waiting[other].counterpart(s)
         if mate is not None:
             self.waiting[other].drop(mate)
             self._paired.add(mate.place)
             return [Fate(s, "pair", mate, now), Fate(mate, "pair", s, now)]
-        late = self._late(s, self.memory[other])
+        late = self.memory[other].counterpart(s)
         if late is not None:
             self.memory[other].drop(late)
             self._used.add(late.place)

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnlake.functions.numbers import MAX_COUNT, saturating_add
-from turnlake.operators.attempts import KEY
-from turnlake.operators.segments import position_blocks, running_sum, with_ordered
+from turnlake.operators.attempts import KEY, TOKENS
+from turnlake.operators.normalize import turn_harness
+from turnlake.operators.segments import first_seen, position_blocks, running_max, running_sum, with_ordered
 
 # Fixed values of the reports.
 TREND_TURNS = 24
@@ -63,25 +64,55 @@ def burn_trend(turns: DataFrame, points: int = TREND_TURNS) -> DataFrame:
 
 
 def running_scoreboard(turns: DataFrame) -> DataFrame:
-    """Cumulative prompts and tokens after every turn.
+    """What an attempt stands at after every turn.
 
-    ``turns`` has ``turn_index``; a turn id counts once, at its first index.
+    Cumulative prompts and tokens, whether any turn so far was estimated, and
+    the model and harness that lead so far (most tokens, most weight; ties go
+    to the one seen first).  ``turns`` has ``turn_index``; a turn id counts
+    once, at its first index.
+
+    A total only grows at its own turns, so the leader is the one that reached
+    the highest total so far: a running sum within each model, then a running
+    maximum over the attempt.  Neither needs a table of all models at a turn.
     """
+    values = [*TOKENS, "model", "confidence", turn_harness(F.col("sources")).alias("harness")]
     once = turns.groupBy(*KEY, "turn_id").agg(
-        F.min_by(F.struct("turn_index", "prompt_id", *MIX_PARTS), "turn_index").alias("_first")
+        F.min_by(F.struct("turn_index", "prompt_id", *values), "turn_index").alias("_first")
     ).select(*KEY, "turn_id", "_first.*")
     prompt = F.nullif("prompt_id", F.lit(""))
     # A prompt counts at its first turn: a small aggregate joined back, instead
     # of a window over what may be one huge prompt.
     opened = once.where(prompt.isNotNull()).groupBy(*KEY, "prompt_id").agg(F.min("turn_index").alias("_opens"))
-    marked = once.join(opened, [*KEY, "prompt_id"], "left").withColumn(
-        "_new", F.when(F.col("_opens").isNull() | (F.col("_opens") == F.col("turn_index")), 1).otherwise(0).cast("bigint")
+    marked = once.join(opened, [*KEY, "prompt_id"], "left").withColumns(
+        {
+            "_new": F.when(F.col("_opens").isNull() | (F.col("_opens") == F.col("turn_index")), 1).otherwise(0).cast("bigint"),
+            "_estimated": F.when(F.col("confidence") == "estimated", 1).otherwise(0),
+            "model": F.coalesce("model", F.lit("")),
+        }
+    )
+    wide = lambda c: F.col(c).cast("decimal(38,0)") if isinstance(c, str) else c.cast("decimal(38,0)")
+    clamp = lambda c: F.least(F.col(c), F.lit(MAX_COUNT)).cast("bigint")
+    mass = wide("tokens_input") + wide("tokens_output")
+    ranked = position_blocks(marked, "turn_index")
+    for by, weight in (("model", mass), ("harness", mass + wide("tokens_thinking") + F.lit(1))):
+        least = F.least(weight, F.lit(MAX_COUNT).cast("decimal(38,0)"))
+        ranked = with_ordered(
+            ranked, [*KEY, by], ["turn_index"], {f"_{by}_total": running_sum(least), f"_{by}_since": first_seen(F.col("turn_index"))}, keep_block=True
+        )
+    rank = lambda by: F.struct(clamp(f"_{by}_total").alias("t"), (-F.col(f"_{by}_since")).alias("s"), F.col(by).alias("v"))
+    totals = {"prompts": "_new", **{f"total_{t.removeprefix('tokens_')}": t for t in TOKENS}}
+    ordered = {n: running_sum(wide(c)) for n, c in totals.items()}
+    ordered |= {"_estimated_yet": running_max(F.col("_estimated")), "_lead_model": running_max(rank("model")), "_lead_harness": running_max(rank("harness"))}
+    out = with_ordered(ranked, KEY, ["turn_index"], ordered)
+    return out.select(
+        *KEY,
+        "turn_index",
+        "turn_id",
+        *[clamp(c).alias(c) for c in totals],
+        (F.col("_estimated_yet") == 1).alias("estimated"),
+        F.col("_lead_model.v").alias("leading_model"),
+        F.col("_lead_harness.v").alias("leading_harness"),
     )
-    values = {"prompts": running_sum(F.col("_new"))}
-    values |= {f"total_{p.removeprefix('tokens_')}": running_sum(F.col(p).cast("decimal(38,0)")) for p in MIX_PARTS}
-    out = with_ordered(position_blocks(marked, "turn_index"), KEY, ["turn_index"], values)
-    clamp = lambda c: F.least(F.col(c), F.lit(MAX_COUNT)).cast("bigint").alias(c)
-    return out.select(*KEY, "turn_index", "turn_id", *[clamp(c) for c in values])
 
 
 def idle_gaps(activity: DataFrame, timeout_ms: int = IDLE_MS, now_ms: int | None = None) -> DataFrame:

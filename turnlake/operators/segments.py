@@ -57,6 +57,11 @@ def running_sum(value: Column) -> Ordered:
     return Ordered("running_sum", F.coalesce(value, F.lit(0)))
 
 
+def running_max(value: Column) -> Ordered:
+    """Largest value up to and including this row, structs field by field; NULLs are passed over."""
+    return Ordered("running_max", value)
+
+
 def row_index() -> Ordered:
     """0-based position in the order."""
     return Ordered("row_index", F.lit(1).cast("bigint"))
@@ -134,6 +139,11 @@ def with_ordered(
             carry[cr] = F.sum(sm).over(earlier)
             total = F.col(loc) + F.coalesce(F.col(cr), F.lit(0))
             final[name] = total - F.lit(1) if spec.kind == "row_index" else total
+        elif spec.kind == "running_max":
+            local[loc] = F.max(v).over(upto)
+            summary.append(F.max(v).alias(sm))
+            carry[cr] = F.max(sm).over(earlier)
+            final[name] = F.greatest(F.col(loc), F.col(cr))
         elif spec.kind == "lag":
             local[loc] = F.lag(F.struct(v.alias("v"))).over(inside)
             summary.append(F.max_by(F.struct(v.alias("v")), place).alias(sm))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions.text import comparable_path
-from turnlake.operators.intervals import join_intervals
+from turnlake.operators.intervals import join_disjoint
 from turnlake.operators.segments import lag_value, lead_value, range_blocks, running_sum, with_ordered
 
 #: Columns of a session row that never leave the store.
@@ -29,7 +29,7 @@ def attribute(turns: DataFrame, sessions: DataFrame, case_insensitive: bool = Fa
         "stopped_at_ms",
     )
     same = comparable_path("workspace", case_insensitive) == comparable_path("_workspace", case_insensitive)
-    inside = join_intervals(
+    inside = join_disjoint(
         turns,
         "timestamp_ms",
         windows,
@@ -155,21 +155,11 @@ def gate_otlp(otlp: DataFrame, sessions: DataFrame) -> DataFrame:
     closed; a window is open until, not including, its stop.
     """
     open_windows = sessions.where(F.col("otlp_token").isNotNull()).select(
-        "capture_id",
-        F.sha2("otlp_token", 256).alias("_token"),
-        F.col("started_at_ms").alias("_from"),
-        (F.col("stopped_at_ms") - 1).alias("_to"),
-    )
-    return join_intervals(
-        otlp,
-        "arrival_ms",
-        open_windows,
-        "_from",
-        "_to",
-        ["capture_id"],
-        how="left_semi",
-        condition=F.col("ingest_token_sha256") == F.col("_token"),
+        F.col("capture_id").alias("_capture"), F.sha2("otlp_token", 256).alias("_token"), F.col("started_at_ms").alias("_from"), F.col("stopped_at_ms").alias("_to")
     )
+    # A token belongs to a session, so the key is as fine as the windows themselves.
+    open_then = (F.col("arrival_ms") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("arrival_ms") < F.col("_to")))
+    return otlp.join(open_windows, (F.col("capture_id") == F.col("_capture")) & (F.col("ingest_token_sha256") == F.col("_token")) & open_then, "left_semi")
 
 
 def binding_mismatch(sessions: DataFrame, levels: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ All of them read the whole test tables (through :mod:`turnlake.fixtures`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,11 +31,17 @@ from turnlake.operators.normalize import normalize, scope_to_workspace, turn_har
 from turnlake.operators.redact import redact, redact_bundles
 from turnlake.plans import checks as Q
 from turnlake.plans.capture import capture, capture_totals, expected_spans
-from turnlake.plans.score import best_case_scores, live_scores
+from turnlake.plans.score import best_case_scores, live_scores, running_scores
 from turnlake.plans.submission import submission_records
-from turnlake.session import cut_lineage
+from turnlake.operators.segments import BLOCK
+from turnlake.schemas import RAW_TURN
+from turnlake.session import checkpoint_dir, cut_lineage
 from turnlake.sources import chat, kv, otlp, rollout, tables, transcript
 from turnlake.sources.lines import lines_of
+from turnlake.streaming.ingest import stream_dedup, stream_raw_turns, stream_transcripts
+from turnlake.streaming.pairing import correlate_stream, drain
+from turnlake.streaming.rollouts import carried_states, stream_rollouts
+from turnlake.streaming.tail import stream_tailed_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,11 +140,45 @@ def _(spark, sf):
     return pairing_fates(cut_lineage(with_flush_time(keep_first(fx.raw_turns(spark, sf)))))
 
 
+def _arrivals(spark, sf, folder: str, rows: DataFrame, steps: int = 3):
+    """Land ``rows`` in the order of arrival, a part at a time; yields the stream of all parts after each."""
+    low, high = rows.agg(F.min("arrival_ms"), F.max("arrival_ms")).first()
+    width = (high - low) // steps + 1 if low is not None else 1
+    for part in range(steps):
+        rows.where(F.expr(f"(arrival_ms - {low or 0}) div {width}") == part).write.parquet(f"{folder}/in/{part}")
+        yield stream_raw_turns(spark, f"{folder}/in/*")
+
+
+def _run_to_end(turns: DataFrame, folder: str) -> DataFrame:
+    """Everything that a query over what has landed so far writes, with what it wrote before."""
+    writer = turns.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return turns.sparkSession.read.schema(turns.schema).parquet(f"{folder}/out")
+
+
+@query("dedup_stream", CHECKS["dedup_keep_first"])
+def _(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/dedup-{uuid.uuid4().hex}"
+    for rows in _arrivals(spark, sf, folder, cut_lineage(fx.raw_turns(spark, sf)), steps=2):
+        got = _run_to_end(stream_dedup(rows), folder)
+    return got.select("capture_id", "dedup_id", "source", "tokens_thinking", "timestamp_ms", "arrival_seq")
+
+
 @query("correlate_turns", f"with {Q.CORRELATED} select {_FLAT} from merged")
 def _(spark, sf):
     return _flat(correlate(fx.raw_turns(spark, sf)))
 
 
+# What a stream emits, and what it still holds back when it ends, is what the batch job finds.
+@query("correlate_drained", CHECKS["correlate_turns"])
+def _(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/drained-{uuid.uuid4().hex}"
+    unique = cut_lineage(keep_first(fx.raw_turns(spark, sf)).select(*RAW_TURN.fieldNames()))
+    for rows in _arrivals(spark, sf, folder, unique):
+        got = _run_to_end(correlate_stream(rows, idle_flush=False), folder)
+    return _flat(got.unionByName(drain(spark, f"{folder}/state")))
+
+
 @query(
     "merge_agreement",
     f"with {Q.CORRELATED} select sources, agreement, confidence, count(*) as n from merged group by all",
@@ -352,42 +393,55 @@ def _(spark, sf):
     return I.trust_tier(fx.sessions(spark, sf), fx.turns(spark, sf))
 
 
-_SUMMARY = f"""with {Q.TURNS}, {Q.SESSIONS}, {Q.FOLD} select s.capture_id, s.session_id as attempt_id, s.attempt_nonce, s.baseline_attested,
-    s.code_reset_count as baseline_reset_count, cast(0 as bigint) as bulk_paste_events, false as ignore_changed, s.nonce_origin,
-    cast(0 as bigint) as pause_count, cast(0 as bigint) as paused_ms_total, f.prompt_count, cast(1800000000000 as bigint) as signed_at_ms,
-    s.started_at_ms, cast(0 as bigint) as untracked_edit_windows from sessions s join fold f on f.capture_id = s.capture_id and f.attempt_id = s.session_id"""
+# Edits within the allowlist of the session's level, by their path in the workspace.
+_EDITS = f"""edits as ({fx.edits_sql(fx.CHECK)}), rels as (select * replace (case when path like '%/src/main.go' then 'src/main.go' when path like '%/src/gen/x.go' then 'src/gen/x.go'
+      when path like '%/notes.md' then 'notes.md' when path like '%/src/util.go' then 'src/util.go' end as path) from edits),
+    changes as (select * from rels where path in ('src/main.go', 'src/gen/x.go', 'src/util.go') and slot % 2 = 0 or path in ('src/main.go', 'notes.md') and slot % 2 = 1)"""
+_PASTES = """seen as (select *, row_number() over w - 1 as prior, coalesce(lag(size) over w, 0) as previous_size from changes
+    window w as (partition by capture_id, attempt_id, path order by seq)),
+  pastes as (select capture_id, attempt_id, path, 'bulk_replace' as kind, size, previous_size, prior as prior_edits, timestamp_ms from seen
+    where kind <> 'removed' and size >= 2000 and size - previous_size >= 2000 and prior <= 1
+    qualify row_number() over (partition by capture_id, attempt_id, path order by prior) = 1),
+  pasted as (select capture_id, attempt_id, count(*) as events from pastes group by all)"""
 
 
-def _no_signals(spark, sf):
-    return I.bulk_pastes(fx.changes(spark, sf))
+def _edits(spark, sf) -> DataFrame:
+    edits = fx.edits(spark, sf)
+    roots = edits.select("capture_id").distinct().withColumn("root", F.concat(F.lit("/ws/u"), F.substr("capture_id", F.lit(5))))
+    globs = F.when(F.col("slot") % 2 == 0, F.array(F.lit("src/**/*.go"))).otherwise(F.array(F.lit("src/main.go"), F.lit("*.md")))
+    levels = edits.select(*KEY, "slot").distinct().select(*KEY, F.transform(globs, glob_to_regex_column).alias("allow_regexes"))
+    ignores = roots.select("capture_id", F.lit("*.tmp").alias("pattern"))
+    return I.provenance_changes(edits.drop("slot"), roots, ignores, levels, [".git", META_DIR])
 
 
-@query("capture_summary", _SUMMARY)
-def _(spark, sf):
-    return I.capture_summary(fx.sessions(spark, sf), fx.turns(spark, sf), _no_signals(spark, sf), 1800000000000)
+_SUMMARY = f"""with {Q.TURNS}, {Q.SESSIONS}, {Q.FOLD}, {_EDITS}, {_PASTES} select s.capture_id, s.session_id as attempt_id, s.attempt_nonce, s.baseline_attested,
+    s.code_reset_count as baseline_reset_count, coalesce(p.events, 0) as bulk_paste_events, false as ignore_changed, s.nonce_origin,
+    cast(0 as bigint) as pause_count, cast(0 as bigint) as paused_ms_total, f.prompt_count, cast(1800000000000 as bigint) as signed_at_ms,
+    s.started_at_ms, cast(0 as bigint) as untracked_edit_windows from sessions s join fold f on f.capture_id = s.capture_id and f.attempt_id = s.session_id
+    left join pasted p on p.capture_id = s.capture_id and p.attempt_id = s.session_id"""
 
 
-_CHANGES = f"changes as ({fx.changes_sql(fx.CHECK)})"
-_PASTES = """seen as (select *, row_number() over w - 1 as prior, coalesce(lag(size) over w, 0) as previous_size from changes
-    window w as (partition by capture_id, attempt_id, path order by seq)),
-  pastes as (select capture_id, attempt_id, path, 'bulk_replace' as kind, size, previous_size, prior as prior_edits, timestamp_ms from seen
-    where kind <> 'removed' and size >= 2000 and size - previous_size >= 2000 and prior <= 1
-    qualify row_number() over (partition by capture_id, attempt_id, path order by prior) = 1)"""
+@query("capture_summary", _SUMMARY)
+def _(spark, sf):
+    return I.capture_summary(fx.sessions(spark, sf), fx.turns(spark, sf), I.bulk_pastes(_edits(spark, sf)), 1800000000000)
 
 
-@query("bulk_paste", f"with {_CHANGES}, {_PASTES} select * from pastes")
+@query("bulk_paste", f"with {_EDITS}, {_PASTES} select * from pastes")
 def _(spark, sf):
-    return I.bulk_pastes(fx.changes(spark, sf))
+    return I.bulk_pastes(_edits(spark, sf))
 
 
 @query(
     "file_provenance",
-    f"""with {_CHANGES}, {_PASTES} select c.capture_id, c.attempt_id, c.path, count(*) as edits, arg_max(c.size, c.seq) as last_size,
+    f"""with {_EDITS}, {_PASTES} select c.capture_id, c.attempt_id, c.path, count(*) as edits, arg_max(c.size, c.seq) as last_size,
     max(c.size) as max_size, bool_or(p.path is not null) as flagged from changes c left join pastes p
     on p.capture_id = c.capture_id and p.attempt_id = c.attempt_id and p.path = c.path group by 1, 2, 3""",
 )
 def _(spark, sf):
-    return I.file_provenance(fx.changes(spark, sf))
+    return I.file_provenance(_edits(spark, sf))
+
+
+_CHANGES = f"changes as ({fx.changes_sql(fx.CHECK)})"
 
 
 @query(
@@ -662,7 +716,7 @@ def _(spark, sf):
 
 def _heads(spark, sf) -> DataFrame:
     sessions = fx.sessions(spark, sf).withColumnRenamed("session_id", "attempt_id")
-    return L.ledger_heads(sessions, L.turn_index(fx.turns(spark, sf)), DOMAIN)
+    return L.ledger_heads(sessions, fx.turns(spark, sf), DOMAIN)
 
 
 @query(
@@ -707,18 +761,19 @@ def _(spark, sf):
 
 @query(
     "final_messages",
-    f"""with {Q.TURNS}, {Q.SESSIONS}, {Q.FOLD}, {Q.CROSS} select s.capture_id, s.session_id as attempt_id, '{{"attempt_nonce":"' || s.attempt_nonce
+    f"""with {Q.TURNS}, {Q.SESSIONS}, {Q.FOLD}, {Q.CROSS}, {_EDITS}, {_PASTES} select s.capture_id, s.session_id as attempt_id, '{{"attempt_nonce":"' || s.attempt_nonce
     || '","capture_summary":{{"baseline_attested":' || s.baseline_attested || ',"baseline_reset_count":' || s.code_reset_count
-    || ',"bulk_paste_events":0,"ignore_changed":false,"nonce_origin":"' || s.nonce_origin || '","pause_count":0,"paused_ms_total":0,"prompt_count":' || f.prompt_count
+    || ',"bulk_paste_events":' || coalesce(q.events, 0) || ',"ignore_changed":false,"nonce_origin":"' || s.nonce_origin || '","pause_count":0,"paused_ms_total":0,"prompt_count":' || f.prompt_count
     || ',"signed_at_ms":1800000000000,"started_at_ms":' || s.started_at_ms || ',"untracked_edit_windows":0}},"chain_version":4,"cross_source":{{"disagree_fields":['
     || case when c.disagree_fields = '' then '' else '"' || replace(c.disagree_fields, ',', '","') || '"' end || '],"disagree_turns":' || c.disagree_turns
     || '}},"final_code_hash":"' || sha256(s.session_id) || '","prev_signature":null,"turn_count":' || c.turns || '}}' as message
     from sessions s join fold f on f.capture_id = s.capture_id and f.attempt_id = s.session_id
-    join cross_source c on c.capture_id = s.capture_id and c.attempt_id = s.session_id""",
+    join cross_source c on c.capture_id = s.capture_id and c.attempt_id = s.session_id
+    left join pasted q on q.capture_id = s.capture_id and q.attempt_id = s.session_id""",
 )
 def _(spark, sf):
     sessions, turns = fx.sessions(spark, sf), fx.turns(spark, sf)
-    summary = I.capture_summary(sessions, turns, _no_signals(spark, sf), 1800000000000)
+    summary = I.capture_summary(sessions, turns, I.bulk_pastes(_edits(spark, sf)), 1800000000000)
     ready = summary.join(A.cross_source_summary(turns), KEY).withColumn("final_code_hash", F.sha2("attempt_id", 256))
     return L.final_messages(ready)
 
@@ -851,13 +906,16 @@ def _(spark, sf):
 
 @query(
     "session_snapshot",
-    f"""with {Q.TURNS}, {Q.SESSIONS} select s.session_id, count(t.turn_id) as turns from sessions s left join turns t
-    on t.capture_id = s.capture_id and t.attempt_id = s.session_id group by 1""",
+    f"""with {Q.TURNS}, {Q.SESSIONS}, {_EDITS}, {_PASTES}, n as (select capture_id, attempt_id, count(*) as turns from turns group by all)
+    select s.capture_id, s.session_id, s.slug, coalesce(n.turns, 0) as turns, coalesce(p.events, 0) as signals from sessions s
+    left join n on n.capture_id = s.capture_id and n.attempt_id = s.session_id left join pasted p on p.capture_id = s.capture_id and p.attempt_id = s.session_id""",
 )
 def _(spark, sf):
-    binding, turns, _signals = Z.session_snapshot(fx.sessions(spark, sf), fx.turns(spark, sf), _no_signals(spark, sf))
-    counts = turns.groupBy(F.col("attempt_id").alias("session_id")).agg(F.count("*").alias("turns"))
-    return binding.select("session_id").join(counts, "session_id", "left").select("session_id", F.coalesce("turns", F.lit(0)).cast("bigint").alias("turns"))
+    binding, *parts = Z.session_snapshot(fx.sessions(spark, sf), fx.turns(spark, sf), I.bulk_pastes(_edits(spark, sf)))
+    out = binding.select("capture_id", F.col("session_id").alias("attempt_id"), "slug")
+    for name, rows in zip(("turns", "signals"), parts):
+        out = out.join(rows.groupBy(*KEY).agg(F.count("*").alias(name)), KEY, "left")
+    return out.na.fill(0, ["turns", "signals"]).withColumnRenamed("attempt_id", "session_id")
 
 
 @query("publish_sessions", f"with {Q.SESSIONS} select * exclude (otlp_token) from sessions")
@@ -965,15 +1023,34 @@ def _(spark, sf):
     return R.burn_trend(fx.turns(spark, sf))
 
 
+_BOARD_COLS = [
+    "capture_id", "attempt_id", "turn_index", "turn_id", "prompt_count", "tokens_input", "tokens_output", "tokens_thinking", "tokens_cache",
+    "counts_estimated", "model_identifier", "harness_used", "economics_id", "score",
+]
+
+
+# Leaders here by summing up all earlier turns of every turn.
 @query(
     "running_scoreboard",
-    f"""with {Q.TURNS}, {_INDEXED}, f as (select *, case when coalesce(prompt_id, '') = '' then 1 when row_number() over (partition by capture_id, attempt_id, prompt_id order by turn_index) = 1 then 1 else 0 end as opens from indexed)
-    select capture_id, attempt_id, turn_index, turn_id, cast(sum(opens) over w as bigint) as prompts, cast(sum(tokens_input) over w as bigint) as total_input,
-      cast(sum(tokens_output) over w as bigint) as total_output, cast(sum(tokens_thinking) over w as bigint) as total_thinking from f
-    window w as (partition by capture_id, attempt_id order by turn_index rows between unbounded preceding and current row)""",
-)
-def _(spark, sf):
-    return R.running_scoreboard(L.turn_index(fx.turns(spark, sf)))
+    f"""with {Q.TURNS}, {Q.SESSIONS}, {Q.ECON}, {Q.WEIGHTS}, {_INDEXED}, f as (select *, case when coalesce(prompt_id, '') = '' then 1 when row_number() over (partition by capture_id, attempt_id, prompt_id order by turn_index) = 1 then 1 else 0 end as opens,
+      case src when 'cursor' then 'cursor' when 'codex' then 'codex_cli' when 'copilot' then 'copilot_chat' else 'claude_code_cli' end as used from indexed),
+    upto as (select a.capture_id, a.attempt_id, a.turn_index, b.model, b.used, b.turn_index as place, b.tokens_input + b.tokens_output as mass, b.tokens_input + b.tokens_output + b.tokens_thinking + 1 as weight
+      from f a join f b on a.capture_id = b.capture_id and a.attempt_id = b.attempt_id and b.turn_index <= a.turn_index),
+    models as (select capture_id, attempt_id, turn_index, model as model_identifier from (select capture_id, attempt_id, turn_index, model, sum(mass) as total, min(place) as since from upto group by all) u
+      qualify row_number() over (partition by capture_id, attempt_id, turn_index order by total desc, since) = 1),
+    harnesses as (select capture_id, attempt_id, turn_index, used as harness_used from (select capture_id, attempt_id, turn_index, used, sum(weight) as total, min(place) as since from upto group by all) u
+      qualify row_number() over (partition by capture_id, attempt_id, turn_index order by total desc, since) = 1),
+    sums as (select capture_id, attempt_id, turn_index, turn_id, cast(sum(opens) over w as bigint) as prompt_count, cast(sum(tokens_input) over w as bigint) as tokens_input,
+      cast(sum(tokens_output) over w as bigint) as tokens_output, cast(sum(tokens_thinking) over w as bigint) as tokens_thinking, cast(sum(tokens_cache) over w as bigint) as tokens_cache,
+      bool_or(confidence = 'estimated') over w as counts_estimated from f
+    window w as (partition by capture_id, attempt_id order by turn_index rows between unbounded preceding and current row)),
+    board as (select x.*, model_identifier, harness_used, s.challenge_type from sums x join models using (capture_id, attempt_id, turn_index) join harnesses using (capture_id, attempt_id, turn_index)
+      join sessions s on s.capture_id = x.capture_id and s.session_id = x.attempt_id), {Q._priced("board")}, {Q._score("cast(2.0 as double)")}
+    select {", ".join(_BOARD_COLS)} from scored""",
+)
+def _(spark, sf):
+    board = running_scores(L.turn_index(fx.turns(spark, sf)), fx.sessions(spark, sf), fx.economics(spark), fx.weights(spark))
+    return board.select(*_BOARD_COLS)
 
 
 @query(
@@ -1064,6 +1141,29 @@ def _(spark, sf):
     return keep_first(transcript.parse_transcripts(lines)).select("event_id", "tokens_thinking")
 
 
+_TURN_COLS = ["event_id", "prompt_id", "tokens_input", "tokens_output", "tokens_thinking", "tokens_cache", "timestamp_ms", "session_id", "workspace"]
+
+
+# The batch rows; lines that a log still holds after it was cut short are read twice.
+@query(
+    "tailed_turns",
+    f"""with {_TALK}, p as (select *, last_value(case when role = 'user' and not is_meta and not is_command and trim(text) <> '' then 'u-' || conv || '-' || turn end ignore nulls)
+      over (partition by conv_id order by turn rows between unbounded preceding and current row) as prompt_id,
+      cast(sum(case when role = 'assistant' then 2 else 1 end) over (partition by conv_id order by turn) as bigint) as upto,
+      cast(sum(case when role = 'assistant' then 2 else 1 end) over (partition by conv_id) as bigint) as n from talk),
+    t as (select 'm-' || conv || '-' || turn as event_id, prompt_id, cast(used_in as bigint) as tokens_input, used_out as tokens_output, k.thinking as tokens_thinking, turn + 3 as tokens_cache,
+      ts_ms as timestamp_ms, 'ses-' || conv as session_id, '/w/' || conv as workspace, conv_id, n // 2 as half, upto - 2 + k.second as place
+      from p, lateral (select 0 as second, cast(ceil(length(thought) / 4.0) as bigint) as thinking union all select 1, 0) k where role = 'assistant')
+    select {", ".join(_TURN_COLS)}, cast(sum(case when conv_id % 4 = 0 and place < half then 2 else 1 end) as bigint) as readings from t group by all""",
+)
+def _(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/tailed-{uuid.uuid4().hex}"
+    for step in range(fx.GROWTH_STEPS):
+        fx.grow_logs(spark, sf, f"{folder}/logs", step)
+        got = _run_to_end(stream_transcripts(stream_tailed_lines(spark, f"{folder}/logs")).select(*_TURN_COLS), folder)
+    return got.groupBy(*_TURN_COLS).agg(F.count("*").alias("readings"))
+
+
 _USAGE = f"usage_log as ({fx.usage_log_sql(fx.CHECK)})"
 _DELTAS = """prev as (select *, lag(c_input) over w as p_i, lag(c_cached) over w as p_c, lag(c_output) over w as p_o, lag(c_reasoning) over w as p_r from usage_log where not heartbeat
     window w as (partition by log_id order by n)),
@@ -1097,6 +1197,19 @@ def _(spark, sf):
     return rollout.skip_history(turns, starts).select("log_id", "pos", "tokens_input")
 
 
+# The same turns from a stream that starts where the history ends.
+@query("stream_after_history", CHECKS["skip_history"])
+def _(spark, sf):
+    lines = cut_lineage(lines_of(fx.usage_lines(spark, sf), "capture_id", "log_id", "pos", "line").withColumn("chunk_no", F.lit(0).cast("bigint")).drop(BLOCK))
+    folder = f"{checkpoint_dir(spark)}/after-history-{uuid.uuid4().hex}"
+    history = carried_states(lines.where("pos < 12"))
+    for low, high in ((12, 20), (20, 1 << 40)):
+        lines.where(F.col("pos").between(low, high - 1)).write.parquet(f"{folder}/lines/{low}")
+        lines_then = spark.readStream.schema(lines.schema).parquet(f"{folder}/lines/*")
+        got = _run_to_end(stream_rollouts(lines_then, history).select("log_id", "pos", "tokens_input"), folder)
+    return got
+
+
 def _tok(x: str) -> str:
     return f"cast(ceil({x} / 4.0) as bigint)"
 

@@ -50,7 +50,8 @@ def transcript_fields(lines: DataFrame, fallback_ms: Column | int = 0, keep: lis
     """Turn and prompt lines as typed columns, without any carried state.
 
     ``is_turn`` marks assistant turns, ``opens_prompt`` holds the id of a prompt that a
-    line opens.  Works on streams too; ``keep`` names the columns passed on.
+    line opens.  Works on streams too; ``keep`` names the columns passed on, and
+    lines that one called ``restarts`` marks are kept whatever they hold.
     """
     entry, message = F.col("_e"), F.col("_e.message")
     fallback = F.lit(fallback_ms) if isinstance(fallback_ms, int) else fallback_ms
@@ -77,7 +78,8 @@ def transcript_fields(lines: DataFrame, fallback_ms: Column | int = 0, keep: lis
         entry.getField("cwd").alias("workspace"),
         F.coalesce(message.getField("id"), entry.getField("requestId")).alias("event_id"),
     )
-    return keep_rows(fields, F.col("is_turn") | F.col("opens_prompt").isNotNull())
+    restarts = F.col("restarts") if "restarts" in fields.columns else F.lit(False)
+    return keep_rows(fields, F.col("is_turn") | F.col("opens_prompt").isNotNull() | restarts)
 
 
 def parse_transcripts(lines: DataFrame, fallback_ms: Column | int = 0) -> DataFrame:

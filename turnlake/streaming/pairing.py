@@ -1,9 +1,11 @@
 """Cross-source pairing on a stream, keyed by capture.
 
 The same rule as the batch job (:mod:`turnlake.operators.matching`).  The state
-of a capture is what is waiting and what gave up recently, both bounded by the
-rule's hold and memory times; a processing-time timer lets idle captures give
-up too.
+of a capture has an entry for each observation that waits and each that gave up
+recently, both bounded by the rule's hold and memory times.  A micro-batch
+writes the entries it changes, not the others.  A processing-time timer lets
+idle captures give up too; :func:`drain` reads what still waits when a query
+has ended.
 """
 
 from __future__ import annotations
@@ -11,8 +13,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from turnlake.functions.hashing import content_id, dedup_id
 from turnlake.operators.correlate import TICK_MS, TWIN_COLUMNS, merge_turns
 from turnlake.operators.matching import HOLD_MS, PairingState, Seen
-from turnlake.schemas import RAW_TURN
+from turnlake.schemas import CORRELATED_SOURCES, RAW_TURN
 from turnlake.streaming.ingest import use_rocksdb
 
 #: A control row makes its capture give up everything at once (session stop).
@@ -35,6 +36,8 @@ _ROW = T.StructType(
     ]
 )
 _NAMES = _ROW.fieldNames()
+#: Where an observation stands in the order of arrival.
+_PLACE = T.StructType([T.StructField("arrival_ms", T.LongType()), T.StructField("arrival_seq", T.LongType()), T.StructField("dedup_id", T.StringType())])
 _OUT = T.StructType(
     _ROW.fields + [T.StructField("emitted_ms", T.LongType())] + [T.StructField(f"twin_{f.name}", f.dataType) for f in RAW_TURN.fields if f.name in TWIN_COLUMNS]
     + [T.StructField("paired", T.BooleanType())]
@@ -42,36 +45,54 @@ _OUT = T.StructType(
 _TWINS = [f.name.removeprefix("twin_") for f in _OUT.fields if f.name.startswith("twin_")]
 
 
-def _python(v):
-    return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else (v.item() if hasattr(v, "item") else v)
-
-
 class Pairing(StatefulProcessor):
-    """Waiting and remembered observations of one capture."""
+    """Waiting and remembered observations of one capture.
 
-    def __init__(self, tick_ms: int = TICK_MS) -> None:
-        self.tick_ms = tick_ms
+    ``idle_flush`` is for queries that follow live logs: timers run by the
+    clock, so on a replay of old logs they would end every wait at once.
+    """
+
+    def __init__(self, tick_ms: int = TICK_MS, idle_flush: bool = True) -> None:
+        self.tick_ms, self.idle_flush = tick_ms, idle_flush
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _ROW)
-        self.memory = handle.getListState("memory", _ROW)
+        self.waiting = handle.getMapState("waiting", _PLACE, _ROW)
+        self.memory = handle.getMapState("memory", _PLACE, _ROW)
 
     def _restore(self) -> tuple[PairingState, dict]:
         state, rows = PairingState(self.tick_ms), {}
         for stored, put in ((self.waiting, state.wait), (self.memory, state.remember)):
-            for row in stored.get():
+            for _, row in stored.iterator():
                 put(self._seen(dict(zip(_NAMES, row)), rows))
+        self.before = {n: {s.place for s in now} for n, now in self._now(state).items()}
         return state, rows
 
+    @staticmethod
+    def _now(state: PairingState) -> dict[str, list[Seen]]:
+        return {"waiting": state.still_waiting(), "memory": state.still_remembered()}
+
     def _store(self, state: PairingState, rows: dict) -> None:
-        for stored, seen in ((self.waiting, state.still_waiting()), (self.memory, state.still_remembered())):
-            stored.clear()
-            if seen:
-                stored.put([tuple(rows[s.place][n] for n in _NAMES) for s in seen])
-        due = min((s.flush for s in state.still_waiting()), default=None)
+        """Write the entries that are new, remove those that are gone."""
+        for name, seen in self._now(state).items():
+            stored, places = getattr(self, name), {s.place for s in seen}
+            for place in self.before[name] - places:
+                stored.removeKey(place)
+            for place in places - self.before[name]:
+                stored.updateValue(place, tuple(rows[place][n] for n in _NAMES))
+        if self.idle_flush:
+            self._keep_timer(min((s.flush for s in state.still_waiting()), default=None))
+
+    def _keep_timer(self, due: int | None) -> None:
+        """One timer, for the first that gives up; none if nothing waits."""
+        set_before = list(self.handle.listTimers())
         if due is not None:
-            self.handle.registerTimer(max(due, int(time.time() * 1000) + self.tick_ms))
+            at = max(due, int(time.time() * 1000) + self.tick_ms)
+            if any(t <= at for t in set_before):
+                return
+            self.handle.registerTimer(at)
+        for t in set_before:
+            self.handle.deleteTimer(t)
 
     @staticmethod
     def _seen(row: dict, rows: dict) -> Seen:
@@ -84,64 +105,50 @@ class Pairing(StatefulProcessor):
         )
 
     @staticmethod
-    def _emit(fates: list, rows: dict) -> list[dict]:
-        out = []
+    def _emit(fates: list, rows: dict) -> Iterator[Row]:
         for f in fates:
             if f.fate == "suppressed" or (f.fate == "pair" and f.seen.source != "otel"):
                 continue
-            main = rows[f.seen.place]
             twin = rows[f.partner.place] if f.fate == "pair" else None
-            extra = {f"twin_{n}": twin[n] if twin else None for n in _TWINS}
-            out.append({**main, **extra, "emitted_ms": f.at, "paired": twin is not None})
-        return out
+            yield Pairing._row(rows[f.seen.place], f.at, twin)
+
+    @staticmethod
+    def _row(main: dict, emitted_ms: int, twin: dict | None = None) -> Row:
+        values = [main[n] for n in _NAMES] + [emitted_ms] + [twin[n] if twin else None for n in _TWINS] + [twin is not None]
+        return Row(*_OUT.fieldNames())(*values)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state, known = self._restore()
-        batch = pd.concat(list(rows)).sort_values(["arrival_ms", "arrival_seq", "dedup_id"], kind="stable")
-        out: list[dict] = []
-        for record in batch.to_dict("records"):
-            record = {k: _python(v) for k, v in record.items()}
-            now = record["arrival_ms"]
-            if record["source"] == STOP:
-                out += self._emit(state.advance(now), known)
+        # One capture's part of one micro-batch, put back in order.
+        for row in sorted(rows, key=lambda r: (r.arrival_ms, r.arrival_seq, r.dedup_id)):
+            record, now = row.asDict(), row.arrival_ms
+            yield from self._emit(state.advance(now), known)
+            if row.source == STOP:
                 given_up = state.give_up(now)
                 for f in given_up:
                     known[f.seen.place]["flush_ms"] = now
-                out += self._emit(given_up, known)
-                continue
-            out += self._emit(state.advance(now), known)
-            if record["source"] in ("otel", "jsonl"):
-                seen = self._seen({n: record[n] for n in _NAMES}, known)
-                out += self._emit(state.arrive(seen, now), known)
+                yield from self._emit(given_up, known)
+            elif row.source in CORRELATED_SOURCES:
+                yield from self._emit(state.arrive(self._seen(record, known), now), known)
             else:
-                out.append({**record, **{f"twin_{n}": None for n in _TWINS}, "emitted_ms": record["flush_ms"], "paired": False})
+                yield self._row(record, row.flush_ms)
         self._store(state, known)
-        yield from self._frames(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state, known = self._restore()
-        now = timerValues.getCurrentProcessingTimeInMs()
-        out = self._emit(state.advance(now), known)
+        yield from self._emit(state.advance(timerValues.getCurrentProcessingTimeInMs()), known)
         self._store(state, known)
-        yield from self._frames(out)
-
-    @staticmethod
-    def _frames(out: list[dict]) -> Iterator[pd.DataFrame]:
-        if out:
-            frame = pd.DataFrame(out, columns=_OUT.fieldNames())
-            for f in _OUT.fields:
-                if isinstance(f.dataType, T.LongType):
-                    frame[f.name] = frame[f.name].astype("Int64")
-            yield frame
 
     def close(self) -> None:
         pass
 
 
-def correlate_stream(raw: DataFrame, tick_ms: int = TICK_MS) -> DataFrame:
+def correlate_stream(raw: DataFrame, tick_ms: int = TICK_MS, idle_flush: bool = True) -> DataFrame:
     """Turns of a de-duplicated stream of raw observations.
 
-    ``raw`` may have ``otel_expected`` (default true): without an expected
+    Batches must come in arrival order.  ``idle_flush`` lets observations of
+    idle captures give up by the clock; switch it off to replay old logs, and
+    :func:`drain` the query when it has ended.  ``raw`` may have ``otel_expected`` (default true): without an expected
     counterpart an observation gives up at the next tick.  Rows whose source is
     ``stop`` are session stops; they carry ``capture_id`` and ``arrival_ms``.
     """
@@ -156,8 +163,27 @@ def correlate_stream(raw: DataFrame, tick_ms: int = TICK_MS) -> DataFrame:
             "flush_ms": (due + F.pmod(-due, F.lit(tick_ms))).cast("bigint"),
         }
     ).select(*_NAMES)
-    paired = rows.groupBy("capture_id").transformWithStateInPandas(
-        statefulProcessor=Pairing(tick_ms), outputStructType=_OUT, outputMode="Append", timeMode="ProcessingTime"
+    paired = rows.groupBy("capture_id").transformWithState(
+        statefulProcessor=Pairing(tick_ms, idle_flush), outputStructType=_OUT, outputMode="Append", timeMode="ProcessingTime" if idle_flush else "None"
     )
+    return _turns(paired)
+
+
+def drain(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """Turns of the observations that an ended query (with that checkpoint) still held back.
+
+    Together with what the query has emitted these are the turns that the batch
+    job finds in the same observations: nothing is lost when a query stops for
+    good.  The state stays as it is, so a query that goes on later must not be
+    drained.
+    """
+    use_rocksdb(spark)
+    state = spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", "waiting").load()
+    alone = {f"twin_{n}": F.lit(None) for n in _TWINS}
+    rows = state.select("user_map_value.*").withColumns({**alone, "emitted_ms": F.col("flush_ms"), "paired": F.lit(False)})
+    return _turns(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _OUT.fields]))
+
+
+def _turns(paired: DataFrame) -> DataFrame:
     twin = F.when(F.col("paired"), F.struct(*[F.col(f"twin_{n}").alias(n) for n in TWIN_COLUMNS]))
     return merge_turns(paired.withColumn("twin", twin))
