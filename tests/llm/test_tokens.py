@@ -159,3 +159,45 @@ def test_empty_tables(empty):
     manifest = token_files.write_token_files(empty, WORD, 2)
     assert manifest.count() == 0
     assert token_files.read_token_files(manifest).count() == 0
+
+
+def both_ways(texts):
+    """Ids by the tree's encoder and by that of the token files."""
+    coder, pieces = bpe.word_bpe(WORD), token_files.encoder(WORD)
+    for text in texts:
+        yield text, coder.encode(text)[0], b"".join(pieces[x] for x in text.replace("\n", " ").split(" "))
+
+
+def test_every_letter_with_marks(library):
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    texts = [t.format(x) for x in letters for t in ("{}.", "{},", "a{}.", "{0}{0},", "{}a.", "A.{}.", "{}.,", "{}'s.", "{}\u0301.")]
+    texts += ["A.İ.", "İSTANBUL, İ,", "i̇. İ.İ, \u0130. DİYARBAKIR\u0130."]
+    for text, tree, files in both_ways(texts):
+        want = np.array(library[WORD].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert tree == files == want, text
+
+
+def test_random_texts_of_odd_characters(library):
+    rng = random.Random(11)
+    odd = [*"abzAZİıßéÉ.,'!?-_0 9\n\t", "e\u0301", "\u0307", "\u00a0", "ǅ", "ŉ", "ﬁ", "日", "😀", "<|endoftext|>", "<|", "'s", "'LL", "\u2003"]
+    texts = ["".join(rng.choices(odd, k=rng.randrange(1, 12))) for _ in range(100_000)]
+    wanted = library[WORD].encode_batch(texts, add_special_tokens=False)
+    for (text, tree, files), want in zip(both_ways(texts), wanted, strict=True):
+        assert tree == files == np.array(want.ids, "<u4").tobytes(), text
+
+
+def test_files_that_keep_case_or_blanks_are_coded_as_they_state(spark, tmp_path):
+    import json
+
+    spec = json.loads(open(WORD).read())
+    spec["normalizer"]["normalizers"].pop()  # keeps case
+    path = str(tmp_path / "cased.json")
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    library = Tokenizer.from_file(path)
+    assert bpe.takes_short_ways(WORD) and not bpe.takes_short_ways(path)
+    texts = ["Hello, World. İ.", "a  b\nC", "", "x<|endoftext|>Y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for i, t in enumerate(texts)}
+    assert {r.doc_id: bytes(r.ids) for r in bpe.bpe_encode_decode(docs, path).collect()} == want
+    read = token_files.read_token_files(token_files.write_token_files(docs, path, end_id=2)).collect()
+    assert {r.doc_id: bytes(r.ids)[:-4] for r in read} == want

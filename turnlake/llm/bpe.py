@@ -34,9 +34,12 @@ for _b in [b for b, c in _BYTES.items() if c is None]:
 BATCH_CHARS = 2_000_000
 
 
+_all_safe = re.compile(f"[\0-{chr(ord(_SAFE) - 1)}]*").fullmatch
+
+
 def is_word(piece: str) -> bool:
     """Only lower-case letters that need no normalizer: one pre-token as it stands."""
-    return piece.isalpha() and max(piece) < _SAFE and piece == piece.lower()
+    return piece.isalpha() and (piece.isascii() or _all_safe(piece) is not None) and piece == piece.lower()
 
 
 def byte_alphabet(word: str) -> str:
@@ -44,15 +47,40 @@ def byte_alphabet(word: str) -> str:
 
 
 def simpler_pieces(piece: str) -> tuple[str, ...] | None:
-    """Pieces with the same ids together: a mark after a letter stands alone, case is dropped."""
-    if piece[-1:] in (".", ",") and piece[-2:-1].isalpha() and piece[-2] < _SAFE:
-        return piece[:-1], piece[-1]
+    """Pieces with the same ids together: a mark after a letter stands alone, case is dropped.
+
+    Not after a letter whose lower case ends in something else: of "İ" a
+    combining mark is left, which forms one run with the mark behind it.
+    """
+    if piece[-1:] in (".", ","):
+        letter = piece[-2:-1].lower()
+        if len(letter) == 1 and letter.isalpha() and piece[-2] < _SAFE and letter < _SAFE:
+            return piece[:-1], piece[-1]
     lower = piece.lower()
-    if lower != piece and lower.isalpha() and max(lower) < _SAFE and max(piece) < _SAFE:
+    if lower != piece and lower.isalpha() and (piece.isascii() or (_all_safe(piece) and _all_safe(lower))):
         return (lower,)
     return None
 
 
+#: What a file must state for texts to be cut at blanks and pieces to be simplified.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def takes_short_ways(file: str) -> bool:
+    """Whether the file lower-cases, drops white space and splits letters from marks, so that pieces can be coded apart.
+
+    Any other file is coded text by text, as it states.
+    """
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal, steps = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    split = steps[0].get("pattern") == {"Regex": _SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+    level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    marked = any(x["lstrip"] or x["rstrip"] or x["normalized"] or x["single_word"] or not x["content"].isascii() or " " in x["content"] for x in spec["added_tokens"])
+    return normal.get("normalizers") == _NORMAL and split and level and not marked
+
+
 class PairTree:
     """Minimum of ``rank << 32 | position`` over adjacent pairs."""
 
@@ -133,6 +161,7 @@ class WordBpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.text_of_id = {i: s for s, i in [*v.items(), *self.special.items()]}
         self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.short = takes_short_ways(file)
         self.pieces: Cache[tuple[bytes, str]] = Cache(self.piece, limit=300_000)
 
     def word(self, word: str) -> list[int]:
@@ -142,14 +171,14 @@ class WordBpe:
 
     def piece(self, piece: str) -> tuple[bytes, str]:
         """Ids (little-endian, 4 bytes each) and decoded text of a piece without blanks."""
-        if (simpler := simpler_pieces(piece)) is not None:
+        if self.short and (simpler := simpler_pieces(piece)) is not None:
             found = [self.pieces[x] for x in simpler]
             return found[0] if len(found) == 1 else (b"".join([x[0] for x in found]), " ".join([x[1] for x in found]))
         ids: list[int] = []
-        if is_word(piece):
+        if self.short and is_word(piece):
             ids = self.word(byte_alphabet(piece))
         else:
-            for part in self.parts.split(piece) if "<|" in piece else (piece,):
+            for part in self.parts.split(piece) if self.special else (piece,):
                 if part in self.special:
                     ids.append(self.special[part])
                 elif part:
@@ -159,6 +188,8 @@ class WordBpe:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids and decoded text of a whole text."""
+        if not self.short:
+            return self.piece(text)
         found = [*map(self.pieces.__getitem__, text.replace("\n", " ").split(" "))]
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
 
@@ -171,10 +202,13 @@ def word_bpe(file: str) -> WordBpe:
 def bpe_encode_decode(docs: DataFrame, file: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column``, ``ids`` (binary, little-endian unsigned 32 bits each) and ``decoded`` per row of ``docs``.
 
-    ``file`` is a tokenizer file with a byte-level pre-tokenizer that drops
-    white space and without a decoder, so tokens decode joined by blanks.  A
-    NULL or empty text gives no ids and an empty string; repeated rows give
-    repeated results; other columns, also of clashing names, are not read.
+    ``file`` is a tokenizer file with a byte-level pre-tokenizer and without a
+    decoder, so tokens decode joined by blanks.  One that lower-cases, drops
+    white space and splits letters from marks is coded piece by piece
+    (:func:`takes_short_ways`), any other text by text.  A NULL or empty text
+    gives no ids and an empty string; very long texts are coded whole; repeated
+    rows give repeated results; an empty table gives no rows; other columns,
+    also of clashing names, are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,17 +162,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_i
         return spark.createDataFrame([], shape)
     dim = length.n
     known = cut(usable.where(F.size("vector") == dim).distinct(), "vectors")
-    largest = F.array_max(F.transform("vector", F.abs)).cast("double")
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x / largest) * (x / largest))
-    count, norm = known.agg(F.count("*"), F.max(largest * F.sqrt(squares))).first()
+    count, norm = known.select("vector").mapInArrow(_norms(dim), "n long, norm double").agg(F.sum("n"), F.max("norm")).first()
+    if not count:
+        return spark.createDataFrame([], shape)
     sample = known.orderBy(F.xxhash64("id", "vector"), "id").limit(sample_rows).select("vector").toArrow()
     forest = spark.sparkContext.broadcast(Forest.fit(_matrix(sample["vector"], dim) + 0.0, min(norm, np.finfo(float).max), k))
 
-    asked = _usable(queries, id_column, vector_column).where(F.size("vector") == dim).distinct().withColumn("form", F.xxhash64("vector"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each: not left to AQE
+    asked = _usable(queries, id_column, vector_column).where(F.size("vector") == dim).distinct().withColumn("form", F.xxhash64("vector")).repartition(tasks, "id", "form")
     path = scratch_path(spark, "queries")
     asked.mapInArrow(_walk(forest, dim), f"id long, form long, vector {known.schema['vector'].dataType.simpleString()}, leaves array<int>").write.parquet(path)
 
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + count * dim * 8 // SHARD_BYTES)
+    shards = max(tasks, 1 + count * dim * 8 // SHARD_BYTES)
     spread = known.repartition(shards, "id", F.xxhash64("vector"))
     best = spread.mapInArrow(_rerank(forest, path, dim, k), "query_id long, form long, vec_id long, score double")
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "form").orderBy(F.desc("score"), "vec_id")))
@@ -196,6 +197,20 @@ def _matrix(vectors: pa.ChunkedArray | pa.ListArray, dim: int) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _norms(dim: int):
+    """Number of vectors and largest norm of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors = _matrix(batch.column(0), dim)
+                largest = np.abs(vectors).max(axis=1)
+                scaled = vectors / largest[:, None]
+                yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "norm": [float((largest * np.sqrt(np.einsum("ij,ij->i", scaled, scaled))).max())]})
+
+    return run
+
+
 def _walk(forest, dim: int):
     """Queries with their leaves."""
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from turnlake.llm.bpe import byte_alphabet, is_word, simpler_pieces
+from turnlake.llm.bpe import byte_alphabet, is_word, simpler_pieces, takes_short_ways
 from turnlake.llm.common import Cache, cut, scratch_path, text_of
 
 FRAME_BYTES = 1 << 20
@@ -44,17 +44,20 @@ GROUP = 1000
 
 @lru_cache(maxsize=4)
 def encoder(file: str) -> Cache[bytes]:
-    """Ids by piece without blanks, for vocabularies that drop white space."""
+    """Ids by piece without blanks, of a file that :func:`takes_short_ways`; else by whole text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(file)
     encode, tokenize = library.encode, library.model.tokenize
+    short = takes_short_ways(file)
 
     def ids(piece: str) -> bytes:
-        if (simpler := simpler_pieces(piece)) is not None:
+        if not short:
+            found = encode(piece, add_special_tokens=False).ids
+        elif (simpler := simpler_pieces(piece)) is not None:
             return b"".join([pieces[x] for x in simpler])
-        if is_word(piece):  # needs no normalizer and is one pre-token: the library's model takes it as it is
+        elif is_word(piece):  # needs no normalizer and is one pre-token: the library's model takes it as it is
             found = [t.id for t in tokenize(byte_alphabet(piece))]
         else:
             found = encode(piece, add_special_tokens=False).ids
@@ -176,7 +179,7 @@ def write_token_files(docs: DataFrame, file: str, end_id: int, out: str | None =
     out = out or scratch_path(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, end = encoder(file), struct.pack("<I", end_id)
+        pieces, end, short = encoder(file), struct.pack("<I", end_id), takes_short_ways(file)
         shard, writer = TaskContext.get().partitionId(), None
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -187,7 +190,7 @@ def write_token_files(docs: DataFrame, file: str, end_id: int, out: str | None =
                     stream = system.open_output_stream(f"{folder}/{name}", compression=None)
                     writer = ShardWriter(stream)
                 text = text.as_py()
-                writer.add(key, b"".join(map(pieces.__getitem__, text.replace("\n", " ").split(" "))) + end)
+                writer.add(key, b"".join(map(pieces.__getitem__, text.replace("\n", " ").split(" ") if short else [text])) + end)
         if writer is not None:
             writer.close()
             stream.close()
