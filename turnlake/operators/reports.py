@@ -10,6 +10,7 @@ from turnlake.functions.numbers import MAX_COUNT, saturating_add
 from turnlake.operators.attempts import KEY, TOKENS
 from turnlake.operators.normalize import turn_harness
 from turnlake.operators.segments import first_seen, position_blocks, running_max, running_sum, with_ordered
+from turnlake.session import cut_lineage
 
 # Fixed values of the reports.
 TREND_TURNS = 24
@@ -90,28 +91,31 @@ def running_scoreboard(turns: DataFrame) -> DataFrame:
             "model": F.coalesce("model", F.lit("")),
         }
     )
-    wide = lambda c: F.col(c).cast("decimal(38,0)") if isinstance(c, str) else c.cast("decimal(38,0)")
+    wide = lambda c: F.col(c).cast("decimal(38,0)")
     clamp = lambda c: F.least(F.col(c), F.lit(MAX_COUNT)).cast("bigint")
     mass = wide("tokens_input") + wide("tokens_output")
-    ranked = position_blocks(marked, "turn_index")
-    for by, weight in (("model", mass), ("harness", mass + wide("tokens_thinking") + F.lit(1))):
-        least = F.least(weight, F.lit(MAX_COUNT).cast("decimal(38,0)"))
-        ranked = with_ordered(
-            ranked, [*KEY, by], ["turn_index"], {f"_{by}_total": running_sum(least), f"_{by}_since": first_seen(F.col("turn_index"))}, keep_block=True
-        )
-    rank = lambda by: F.struct(clamp(f"_{by}_total").alias("t"), (-F.col(f"_{by}_since")).alias("s"), F.col(by).alias("v"))
+    # Model and harness side by side: a row of a turn for each, the model's last.
+    sides = [F.struct(F.lit(k).alias("side"), F.col(n).alias("value"), w.alias("weight")) for k, n, w in ((0, "harness", mass + wide("tokens_thinking") + F.lit(1)), (1, "model", mass))]
+    both = cut_lineage(marked.select("*", F.explode(F.array(*sides)).alias("_s")).select(*KEY, "turn_index", "turn_id", "_new", "_estimated", *TOKENS, "_s.*"))
+    ranked = with_ordered(
+        position_blocks(both, "turn_index"), [*KEY, "side", "value"], ["turn_index"],
+        {"_total": running_sum(F.least("weight", F.lit(MAX_COUNT).cast("decimal(38,0)"))), "_since": first_seen(F.col("turn_index"))}, keep_block=True,
+    )
+    rank = F.struct(clamp("_total").alias("t"), (-F.col("_since")).alias("s"), F.col("value").alias("v"))
+    ranked = cut_lineage(ranked.withColumn("_rank", rank).drop("_total", "_since", "weight", "value"))
     totals = {"prompts": "_new", **{f"total_{t.removeprefix('tokens_')}": t for t in TOKENS}}
-    ordered = {n: running_sum(wide(c)) for n, c in totals.items()}
-    ordered |= {"_estimated_yet": running_max(F.col("_estimated")), "_lead_model": running_max(rank("model")), "_lead_harness": running_max(rank("harness"))}
-    out = with_ordered(ranked, KEY, ["turn_index"], ordered)
+    is_last = F.col("side") == 1
+    ordered = {n: running_sum(F.when(is_last, wide(c))) for n, c in totals.items()}
+    ordered |= {"_estimated_yet": running_max(F.col("_estimated")), "_model": running_max(F.when(is_last, F.col("_rank"))), "_harness": running_max(F.when(~is_last, F.col("_rank")))}
+    out = with_ordered(ranked, KEY, ["turn_index", "side"], ordered).where(is_last)
     return out.select(
         *KEY,
         "turn_index",
         "turn_id",
         *[clamp(c).alias(c) for c in totals],
         (F.col("_estimated_yet") == 1).alias("estimated"),
-        F.col("_lead_model.v").alias("leading_model"),
-        F.col("_lead_harness.v").alias("leading_harness"),
+        F.col("_model.v").alias("leading_model"),
+        F.col("_harness.v").alias("leading_harness"),
     )
 
 
