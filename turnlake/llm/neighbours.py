@@ -237,6 +237,8 @@ def _rerank(forest, path: str, dim: int, k: int):
             leaf = forest.value.routed(forest.value.raised(vectors))
             named = np.zeros(len(forest.value.cuts) << forest.value.depth, bool)
             for batch in dataset(folder, filesystem=system, format="parquet").to_batches(batch_size=QUERY_BATCH):
+                if not batch.num_rows:
+                    continue
                 asked, found = _matrix(batch.column("vector"), dim), []
                 begins = batch.column("leaves").offsets.to_numpy()
                 leaves = batch.column("leaves").values.to_numpy()
