@@ -77,9 +77,45 @@ def test_runs_are_kept():
                     assert (s, len(window)) in passed
 
 
-@pytest.mark.parametrize("n", [10, 15, 40, 60, 120])
+@pytest.mark.parametrize("n", [1, 4, 5, 10, 15, 40, 60, 120, 400])
 def test_meetings_reach_the_rate_assumed(n):
-    assert D.collision_rate(n, 400) >= D.MEETS
+    assert D.collision_rate(n, 400) >= D.meets(n)
+
+
+@pytest.mark.parametrize("n", [5, 15, 30, 60, 200])
+def test_unrelated_windows_do_not_meet(n):
+    """Windows of other words share no bucket, also shorter ones and over all repetitions."""
+    rng = np.random.default_rng(n)
+    item, others = rng.integers(1, 1 << 62, n).astype(np.uint64), rng.integers(1, 1 << 62, 200 * n).astype(np.uint64)
+    begin, length = np.arange(200) * n, np.full(200, n)
+    length[::3] = n - D.allowed(n)
+    met = 0
+    for r in range(D.repeats(n)):
+        (own,), (stood,) = D.embed(item, np.zeros(1, int), np.array([n]), np.array([n]), r)
+        keys, alive = D.embed(others, begin, length, np.full(200, n), r)
+        met += int((alive & stood & (keys == own)).sum())
+    assert met <= 0.01 * 200
+
+
+def test_buckets_alone_find_windows_at_the_full_distance():
+    """Recall of the buckets, whatever the runs would let pass."""
+    rng = np.random.default_rng(8)
+    for n in (5, 12, 30, 60, 150):
+        found = 0
+        for t in range(60):
+            a, b = rng.integers(1, 1 << 62, n).astype(np.uint64), None
+            b = a.tolist()
+            for _ in range(D.allowed(n)):
+                at, what = int(rng.integers(len(b))), int(rng.integers(3))
+                b[at : at + (what != 1)] = [int(rng.integers(1, 1 << 62))] * (what != 2)
+            b = np.array(b[:n], np.uint64)
+            both, sizes = np.concatenate([a, b]), np.array([n, len(b)])
+            met = False
+            for r in range(D.repeats(n)):
+                keys, stood = D.embed(both, np.array([0, n]), sizes, np.array([n, n]), r)
+                met |= bool(stood.all() and keys[0] == keys[1])
+            found += met
+        assert found >= 0.97 * 60, n
 
 
 def test_recall_and_exactness(spark):

@@ -37,14 +37,25 @@ RUN, BLOCK_CHARS, WINDOWS = 3, 8_000_000, 100_000
 #: Bits of a run's fingerprint in the table of those seen in items.
 _SEEN = 20
 #: Sampled coordinates of a bucket, and the recall aimed at for a window at the full distance.
-SAMPLED, RECALL = 2, 0.99
-#: Share of pairs at the full distance that meet in one repetition: measured
-#: low by ``collision_rate`` for items of 15 to 60 words.
-MEETS = 0.2
-REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - MEETS))
+SAMPLED, RECALL = 2, 0.999
+#: Steps per word of an item that coordinates are drawn from; a walk has left the item's words after about two a word.
+REACH = 1.0
+
+
+def meets(n: int) -> float:
+    """Share of pairs of ``n`` words at the full distance that meet in one repetition, low: edits put walks out of step, more with more words.
+
+    A curve below what ``collision_rate`` measures from 5 to 1000 words.
+    """
+    return min(0.45, 0.45 * (15 / n) ** 0.65)
+
+
+def repeats(n: int) -> int:
+    """Repetitions after which ``RECALL`` of such pairs have met."""
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - meets(n)))
+
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_FILL = np.uint64(0x2545F4914F6CDD1D)
 _MARKS = re.compile(r"[\W_]+")
 
 
@@ -89,24 +100,29 @@ def runs(h: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def embed(h: np.ndarray, begin: np.ndarray, length: np.ndarray, n: np.ndarray, repeat: int) -> np.ndarray:
-    """Bucket of each window ``h[begin : begin + length]`` for items of ``n`` words, in one repetition.
+def embed(h: np.ndarray, begin: np.ndarray, length: np.ndarray, n: np.ndarray, repeat: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each window ``h[begin : begin + length]`` for items of ``n`` words, in one repetition, and whether it has one.
 
-    The walk takes ``3 n`` steps; at each it writes the word it stands on
-    (a fixed filler beyond the end), and a random bit of step and word decides
-    whether it moves on.  A bucket is the words at the sampled steps, with ``n``.
+    At each step the walk writes the word it stands on, and a random bit of
+    step and word decides whether it moves on.  A bucket is the words at the
+    sampled steps, with ``n``.  A walk moves at every second step on average,
+    so steps are drawn where it still has words ahead; one that has left the
+    window there says nothing, and gets no bucket.
     """
     rng = np.random.default_rng(repeat)
     sampled = rng.random(SAMPLED)
-    steps = np.floor(sampled[:, None] * (3 * n)).astype(np.int64)
+    steps = np.floor(sampled[:, None] * (REACH * n)).astype(np.int64)
     place, bucket = np.zeros(len(begin), np.int64), n.astype(np.uint64) * _MIX[0]
+    stood = np.ones(len(begin), bool)
     for step in range(int(steps.max(initial=-1)) + 1):
         salt = np.uint64(int(rng.integers(1 << 63)) * 2 + 1)
-        word = np.where(place < length, h[np.minimum(begin + place, len(h) - 1)], _FILL)
+        word = h[np.minimum(begin + place, len(h) - 1)]
         for s in steps:
-            bucket = np.where(s == step, (bucket ^ word) * _MIX[1], bucket)
+            here = s == step
+            bucket = np.where(here, (bucket ^ word) * _MIX[1], bucket)
+            stood &= ~here | (place < length)
         place += (((word ^ salt) * _MIX[2]) >> np.uint64(63)).astype(np.int64)
-    return bucket ^ np.uint64(repeat * int(_MIX[2]) % (1 << 64))
+    return bucket ^ np.uint64(repeat * int(_MIX[2]) % (1 << 64)), stood
 
 
 def edit_distance(a: list[int], b: list[int], most: int) -> int:
@@ -153,9 +169,14 @@ class Items:
             self.by_run[q] = (key[order], item[order], seen)
         if self.words:
             flat, begin = np.concatenate(self.words), np.cumsum(self.n) - self.n
-            keys = np.concatenate([embed(flat, begin, self.n, self.n, r) for r in range(REPEATS)])
-            order = np.argsort(keys, kind="stable")
-            self.buckets, self.in_bucket = keys[order], np.tile(np.arange(len(self.n)), REPEATS)[order]
+            rounds, keys, met = np.array([repeats(int(n)) for n in self.n]), [], []
+            for r in range(int(rounds.max())):
+                own = np.flatnonzero(rounds > r)
+                key, stood = embed(flat, begin[own], self.n[own], self.n[own], r)
+                keys.append(key[stood])
+                met.append(own[stood])
+            order = np.argsort(np.concatenate(keys), kind="stable")
+            self.buckets, self.in_bucket = np.concatenate(keys)[order], np.concatenate(met)[order]
 
     def windows(self, h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, lengths and item sizes of windows that keep enough runs of an item.
@@ -201,12 +222,14 @@ class Items:
         starts, lengths, sizes = self.windows(h, first, last)
         for i in range(0, len(starts), WINDOWS):
             start, length, n = starts[i : i + WINDOWS], lengths[i : i + WINDOWS], sizes[i : i + WINDOWS]
-            met = set()
-            for r in range(REPEATS):
-                key = embed(h, start, length, n, r)
+            met, sizes_here, which = set(), *np.unique(n, return_inverse=True)
+            rounds = np.array([repeats(int(x)) for x in sizes_here])[which]
+            for r in range(int(rounds.max())):
+                own = np.flatnonzero(rounds > r)
+                key, stood = embed(h, start[own], length[own], n[own], r)
                 left, right = np.searchsorted(self.buckets, key, "left"), np.searchsorted(self.buckets, key, "right")
-                for w in np.flatnonzero(right > left):
-                    met.update((int(w), int(k)) for k in self.in_bucket[left[w] : right[w]])
+                for w in np.flatnonzero((right > left) & stood):
+                    met.update((int(own[w]), int(k)) for k in self.in_bucket[left[w] : right[w]])
             met = sorted((w, k) for w, k in met if self.n[k] == n[w])
             for w, k in met:  # whole copies first: nothing else of the document can be closer
                 where = (int(first[start[w]]), k)
@@ -271,7 +294,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
     ``begin`` and ``end`` are the characters of the closest window, the first
     of equals.  NULL and empty texts hold nothing; a document of fewer words than an item is
-    one window.  Repeated documents or items give repeated rows; other columns are not read.
+    one window.  Texts of any length are searched whole.  Repeated documents or
+    items give repeated rows; an empty table of either gives no rows; other
+    columns are not read.
     """
     rows = docs.select(F.col(id_column), text_of(text_column).alias("_text"))
     kinds = f"`{id_column}` {rows.schema[0].dataType.simpleString()}, `{item_column}` {benchmark.schema[item_column].dataType.simpleString()}, distance int, begin long, end long"
@@ -302,7 +327,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found, all columns as they were."""
+    """The rows of ``docs`` in which no item is found, all columns as they were.
+
+    Rows of a NULL or empty text stay, repeated rows go or stay alike; without
+    items all rows stay.
+    """
     for items in item_blocks(benchmark, item_column, item_text_column):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -333,6 +362,6 @@ def collision_rate(n: int, trials: int = 2000, seed: int = 0) -> float:
                 b.pop(at)
         other = np.array(b[:n], np.uint64)
         both = np.concatenate([a, other])
-        keys = embed(both, np.array([0, n]), np.array([n, len(other)]), np.array([n, n]), t)
-        meets += keys[0] == keys[1]
+        keys, stood = embed(both, np.array([0, n]), np.array([n, len(other)]), np.array([n, n]), t)
+        meets += keys[0] == keys[1] and stood.all()
     return meets / trials

@@ -232,7 +232,6 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('### : </turn>' || chr(10)) + length(role) + length(text)
-           + 0 * turn
            + length(text) - length(replace(replace(replace(text, '\\', ''), '#', ''), '<', ''))
        ) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id

@@ -218,7 +218,12 @@ def fit_curve(x: np.ndarray, label: np.ndarray, penalty: float = 0.05, rounds: i
 
 
 def toxicity_scores(docs: DataFrame, lexicon: Lexicon, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column`` and ``score`` (0 to 1) per row of ``docs``, over whole texts; NULL texts score as empty ones."""
+    """``id_column`` and ``score`` (0 to 1) per row of ``docs``, over whole texts of any length.
+
+    NULL texts score as empty ones; equal texts score alike, so repeated rows
+    give repeated results; an empty table gives no rows.  Other columns are not
+    read.
+    """
     rows = docs.select(F.col(id_column), text_of(text_column).alias("text"))
     kind = rows.schema[0].dataType.simpleString()
     measured = rows.mapInArrow(_measured(lexicon, [id_column]), f"`{id_column}` {kind}, x double, y double")
@@ -231,7 +236,7 @@ def _curve(lexicon: Lexicon) -> Column:
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, bar: float = 0.7, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``bar``, all columns as they were."""
+    """The rows of ``docs`` that score below ``bar``, all columns as they were; NULL texts score as empty ones."""
     automaton = _Lazy(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
