@@ -4,7 +4,7 @@ from helpers import lines, raw
 from pyspark.sql import functions as F
 
 from turnlake.operators.dedup import keep_first
-from turnlake.sources import chat, kv, otlp, rollout, tables, transcript
+from turnlake.sources import chat, kv, otlp, rollout, tables, transcript, workspace
 from turnlake.sources.lines import read_lines
 
 
@@ -225,13 +225,28 @@ def test_table_readers(spark, tmp_path):
     (tmp_path / "cases").mkdir()
     (tmp_path / "cases" / "c.json").write_text(json.dumps({"suite": "x", "cases": [{"name": "a", "stdin": "1", "expected_stdout": "2"}]}))
     assert tables.read_cases(spark, str(tmp_path / "cases")).first().expected_stdout == "2"
-    ws = tmp_path / "ws" / "w1"
-    (ws / "src" / ".git").mkdir(parents=True)
-    (ws / "src" / "a.go").write_bytes(b"x")
-    (ws / "src" / ".git" / "b").write_bytes(b"x")
-    (ws / "README.md").write_bytes(b"x")
-    got = tables.read_workspace(spark, str(tmp_path / "ws"), ".meta").collect()
-    assert [(r.workspace, r.path) for r in got] == [("w1", "src/a.go")]
+
+
+def test_workspaces_and_links(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "TASK_WORKSPACES", 2)
+    root = tmp_path / "ws"
+    assert not root.exists()
+    root.mkdir()
+    assert workspace.read_workspace(spark, str(root), ".meta").count() == 0
+    for name in ("w1", "w2", "w3", "empty"):
+        (root / name / "src" / ".git").mkdir(parents=True)
+        if name != "empty":
+            (root / name / "src" / "a.go").write_bytes(b"x")
+        (root / name / "src" / ".git" / "b").write_bytes(b"x")
+        (root / name / "README.md").write_bytes(b"x")
+    (root / "w1" / "src" / "README.md").write_bytes(b"inner")
+    (root / "w2" / "src" / "code").symlink_to(root / "w1" / "src")  # a folder
+    (root / "w3" / "src" / ".git" / "c").symlink_to("b")  # pruned with its folder
+    (root / "stray.txt").write_bytes(b"x")
+    entries = workspace.read_workspace(spark, str(root), ".meta")
+    files, refused = workspace.without_links(entries)
+    assert sorted((r.workspace, r.path, bytes(r.content)) for r in files.collect()) == [("w1", "src/README.md", b"inner"), ("w1", "src/a.go", b"x"), ("w3", "src/a.go", b"x")]
+    assert [tuple(r) for r in refused.collect()] == [("w2", "symlink is not allowed in a workspace: src/code")]
 
 
 def test_raw_contract(spark):

@@ -38,9 +38,11 @@ from turnlake.schemas import RAW_TURN
 from turnlake.session import checkpoint_dir, cut_lineage
 from turnlake.sources import chat, kv, otlp, rollout, tables, transcript
 from turnlake.sources.lines import lines_of
+from turnlake.sources.workspace import read_workspace, without_links
 from turnlake.streaming.ingest import stream_dedup, stream_raw_turns, stream_transcripts
 from turnlake.streaming.pairing import correlate_stream, drain
 from turnlake.streaming.rollouts import carried_states, stream_rollouts
+from turnlake.streaming.store import TurnStore
 from turnlake.streaming.tail import stream_tailed_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,6 +598,22 @@ def _(spark, sf):
     return C.content_hashes(fx.files(spark, sf), ["workspace"], META_DIR)
 
 
+@query(
+    "workspace_snapshots",
+    f"""with {Q.FILES}, w as (select *, workspace || '-' || (doc_id // {fx.WORKSPACE_IDS}) as ws, doc_id // {fx.WORKSPACE_IDS} % 7 = 3 as linked from files)
+    select ws as workspace, case when linked then 'symlink is not allowed in a workspace: src/other' end as reason,
+      case when not linked then sha256(string_agg({Q._PATH} || chr(0) || {Q._BODY}, '' order by {Q._PATH}) filter (not {Q._PATH} like '.meta/%')) end as content_hash,
+      case when not linked then count(*) filter (not {Q._PATH} like '.meta/%') end as files
+    from w group by ws, linked having linked or count(*) filter (not {Q._PATH} like '.meta/%') > 0""",
+)
+def _(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/workspaces-{uuid.uuid4().hex}"
+    fx.land_workspaces(spark, sf, folder)
+    files, refused = without_links(read_workspace(spark, folder, META_DIR))
+    hashes = C.content_hashes(files, ["workspace"], META_DIR)
+    return hashes.join(refused, "workspace", "full").select("workspace", "reason", "content_hash", "files")
+
+
 @query(
     "verify_baseline",
     f"""with {Q.HASHES} select workspace, case when workspace like '%1' then 'mismatch' else 'match' end as status,
@@ -742,6 +760,52 @@ def _(spark, sf):
     return L.verify_seals(heads, seals)
 
 
+def _stored(spark, sf, name: str) -> TurnStore:
+    """A store that a stream has written in three steps, of which the second was killed before its commit once."""
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    store, turns = TurnStore(f"{folder}/store", DOMAIN), cut_lineage(fx.turns(spark, sf))
+    low, high = turns.agg(F.min("emitted_ms"), F.max("emitted_ms")).first()
+    for part in range(3):
+        rows = turns.where(F.expr(f"least((emitted_ms - {low}) div {(high - low) // 3 + 1}, 2)") == part)
+        rows.write.parquet(f"{folder}/in/{part}")
+        if part == 1:
+            store.write_data(rows, "turns-killed")
+        stream = spark.readStream.schema(turns.schema).parquet(f"{folder}/in/*")
+        writer = stream.writeStream.foreachBatch(store.sink("turns")).option("checkpointLocation", f"{folder}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return store
+
+
+@query(
+    "stored_turns",
+    f"""with {Q.TURNS} select capture_id, attempt_id, turn_id, tokens_input, tokens_cache, emitted_ms, strftime(make_timestamp(emitted_ms * 1000), '%Y-%m-%d') as capture_date from turns""",
+)
+def _(spark, sf):
+    store = _stored(spark, sf, "stored")
+    store.compact(spark)
+    return store.read(spark).select(*KEY, "turn_id", "tokens_input", "tokens_cache", "emitted_ms", "capture_date")
+
+
+# Turns of every fourth slot are edited behind the store's back, of others deleted, of others their seal.
+@query(
+    "sealed_restart",
+    f"""with {Q.TURNS}, per as (select capture_id, attempt_id, max(slot) % 5 as k, count(*) as turns, count(*) filter (where event_id % 2 = 0) as evens from turns group by all)
+    select capture_id, attempt_id, case when k = 2 then turns - evens else turns end as turns,
+      case when k in (1, 3) or k = 2 and evens > 0 then 'start_fresh' else 'trusted' end as seal from per""",
+)
+def _(spark, sf):
+    store = _stored(spark, sf, "sealed")
+    k = F.col("slot") % 5
+    for commit in store.commits().values():
+        data, seals = f"{store.path}/data/folder={commit['folder']}", f"{store.path}/seals/{commit['folder']}"
+        turns = spark.read.parquet(data).where((k != 2) | (F.col("event_id") % 2 != 0))
+        edited = cut_lineage(turns.withColumn("tokens_input", F.col("tokens_input") - F.when(k == 1, 1).otherwise(0)))
+        edited.write.mode("overwrite").partitionBy("capture_date").parquet(data)
+        kept = cut_lineage(spark.read.parquet(seals).where(F.regexp_extract("attempt_id", "-([0-9]+)$", 1).cast("int") % 5 != 3))
+        kept.write.mode("overwrite").parquet(seals)
+    return store.resume(spark)[1]
+
+
 def _json_text(x: str) -> str:
     return f"cast(to_json({x}) as varchar)"
 

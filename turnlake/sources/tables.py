@@ -95,18 +95,3 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_grades(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GRADES).json(path).where(F.col("status") == "graded")
-
-
-def read_workspace(spark: SparkSession, path: str, meta_dir: str) -> DataFrame:
-    """Files of workspaces below ``path``: ``workspace`` (first folder level),
-    ``path`` relative to it and ``content``, pruned of generated folders.
-
-    The listing of Spark's binary source does not tell links from files, so the
-    refusal of symbolic links has to happen where files are landed.
-    """
-    root = path.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + "\\Q" + root + "\\E/", "")
-    split = raw.select(F.substring_index(rel, "/", 1).alias("workspace"), rel.alias("_rel"), "content")
-    out = split.select("workspace", F.substr("_rel", F.length("workspace") + 2).alias("path"), "content")
-    return out.where(~is_pruned("path", meta_dir))
