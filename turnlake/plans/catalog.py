@@ -38,6 +38,7 @@ from turnlake.schemas import RAW_TURN
 from turnlake.session import checkpoint_dir, cut_lineage
 from turnlake.sources import chat, kv, otlp, rollout, tables, transcript
 from turnlake.sources.lines import lines_of
+from turnlake.sources.registry import read_all
 from turnlake.sources.workspace import read_workspace, without_links
 from turnlake.streaming.ingest import stream_dedup, stream_raw_turns, stream_transcripts
 from turnlake.streaming.pairing import correlate_stream, drain
@@ -1310,6 +1311,49 @@ def _(spark, sf):
     )
 
 
+_ALL_COLS = "event_id, prompt_id, tokens_input, tokens_output, tokens_thinking"
+
+
+@query(
+    "all_sources",
+    f"""select 'jsonl' as source, {_ALL_COLS} from ({CHECKS["prompt_groups"]}) t union all select 'cursor', {_ALL_COLS} from ({CHECKS["kv_turns"]}) k""",
+)
+def _(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/sources-{uuid.uuid4().hex}"
+    fx.grow_logs(spark, sf, f"{folder}/logs", 1)
+    fx.kv_rows(spark, sf).write.parquet(f"{folder}/kv")
+    return read_all(spark, {"jsonl": f"{folder}/logs", "cursor": f"{folder}/kv"}).select("source", *_ALL_COLS.split(", "))
+
+
+# Landed as JSON lines and read by schema; a grade that is not final does not count.
+@query(
+    "stored_grades",
+    """select cast(doc_id as varchar) as submission_id, cast(doc_id as double) / cast(4.0 as double) as score, cast(doc_id % 100 as double) as correctness_pct, toxic = 0 as recognized
+    from labels where quality = 1""",
+)
+def _(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/grades-{uuid.uuid4().hex}"
+    rows = fx.load(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("submission_id"), F.when(F.col("quality") == 1, "graded").otherwise("pending").alias("status"),
+        (F.col("doc_id") / 4).alias("score"), (F.col("doc_id") % 100).cast("double").alias("correctness_pct"), (F.col("toxic") == 0).alias("recognized"), F.lit("more").alias("note"),
+    )
+    rows.write.json(folder)
+    return tables.read_grades(spark, folder).select("submission_id", "score", "correctness_pct", "recognized")
+
+
+@query(
+    "stored_verdicts",
+    """select cast(doc_id as varchar) as submission_id, 'case-' || k as name, case when quality = 1 then 'passed' else 'failed' end as status, case when toxic = 1 then 'x' end as message
+    from labels, range(2) r(k) where k <= doc_id % 2""",
+)
+def _(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/verdicts-{uuid.uuid4().hex}"
+    case = lambda k: F.struct(F.concat(F.lit("case-"), k.cast("string")).alias("name"), F.when(F.col("quality") == 1, "passed").otherwise("failed").alias("status"), F.when(F.col("toxic") == 1, "x").alias("message"))
+    cases = F.transform(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 2), case)
+    fx.load(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("submission_id"), cases.alias("cases")).write.json(folder)
+    return tables.read_verdicts(spark, folder)
+
+
 @query(
     "conversation_members",
     f"""with {_TALK}, c as (select distinct conv_id, conv from talk)

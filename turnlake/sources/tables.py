@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnlake.functions.text import glob_to_regex_column, trim_unicode
-from turnlake.operators.content import is_pruned
 
 SUPPORTED_MANIFEST = 1
 SUPPORTED_MARKER = 1
