@@ -108,7 +108,7 @@ def test_dedup_never_forgets(spark, sf_dir, tmp_path):
 
 
 def test_drain_gives_what_still_waits(spark, sf_dir, tmp_path):
-    rows = fx.raw_turns(spark, sf_dir).where("capture_id in ('cap-1', 'cap-2', 'cap-3')").select(*RAW_TURN.fieldNames())
+    rows = fx.raw_turns(spark, sf_dir).select(*RAW_TURN.fieldNames())
     unique = keep_first(rows).select(*RAW_TURN.fieldNames())
     for part in range(3):
         span = F.expr(f"(arrival_ms - {fx.EPOCH}) div 900000")
