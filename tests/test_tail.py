@@ -37,6 +37,21 @@ def test_offsets_decide_ranges():
     assert places({"a": 18}, {"a": 0}) == []
 
 
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=4), st.integers(1, 1000), max_size=60), st.integers(1, 9), st.integers(1, 500))
+def test_bundles_hold_every_range_once(ends, tasks, range_bytes):
+    found = tail.ranges({}, ends, range_bytes)
+    made = tail.bundles(found, tasks, range_bytes)
+    assert [r for b in made for r in b.ranges] == found and all(b.ranges for b in made)
+
+
+def test_tasks_do_not_grow_with_the_files(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.jsonl").write_text(f"{i}\n{i}b\n")
+    rows = tail.read_tailed_lines(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted((r.log_id, r.line) for r in rows.collect()) == sorted((f"{i}.jsonl", line) for i in range(300) for line in (f"{i}", f"{i}b"))
+
+
 def user(i):
     return json.dumps({"type": "user", "uuid": f"u{i}", "message": {"content": "go"}})
 

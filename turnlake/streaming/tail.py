@@ -3,7 +3,8 @@
 The file source of Spark sees new files, not bytes appended to old ones.  This
 source does: its offset is a map from file to the end of the file's last whole
 line.  A micro-batch is, for each file, the bytes between two offsets, cut into
-ranges that begin and end at lines, one task each.
+ranges that begin and end at lines.  A task reads one large range or many small
+ones, so the number of tasks follows the bytes and cores, not the files.
 
 * Bytes after the last line end are left until the line is complete.
 * A file whose end moved back was truncated or replaced: it is read again from
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,6 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 #: Bytes of a task's range at most, of a block read at a time, lines of a batch handed on.
 RANGE_BYTES, BLOCK_BYTES, BATCH_LINES = 64 << 20, 1 << 20, 10_000
+#: Opening a file counts as so many bytes of a task; line ends of so many files are looked up at once.
+FILE_BYTES, LOOKUPS = 256 << 10, 32
 SUFFIX = ".jsonl"
 SCHEMA = "log_id string, restarts boolean, pos bigint, line string"
 _ARROW = pa.schema([("log_id", pa.string()), ("restarts", pa.bool_()), ("pos", pa.int64()), ("line", pa.string())])
@@ -77,6 +81,28 @@ def ranges(start: dict, end: dict, range_bytes: int = RANGE_BYTES) -> list[LineR
     return found
 
 
+@dataclass
+class RangeBundle(InputPartition):
+    """What one task reads: ranges of one file or of many."""
+
+    ranges: list[LineRange]
+
+
+def bundles(found: list[LineRange], tasks: int, range_bytes: int = RANGE_BYTES) -> list[RangeBundle]:
+    """Ranges in order, dealt to about ``tasks`` tasks or to as many more as ``range_bytes`` asks for."""
+    cost = [r.stop - r.first + FILE_BYTES for r in found]
+    most = min(-(-sum(cost) // max(tasks, 1)), range_bytes + FILE_BYTES)
+    out: list[RangeBundle] = []
+    held = most
+    for part, n in zip(found, cost, strict=True):
+        if held + n > most:
+            out.append(RangeBundle([]))
+            held = 0
+        out[-1].ranges.append(part)
+        held += n
+    return out
+
+
 def lines_in(stream, part: LineRange, block: int = BLOCK_BYTES) -> Iterator[tuple[int, bytes]]:
     """Place and bytes of the lines that begin in the range, without their ends."""
     at = part.first
@@ -112,8 +138,8 @@ def lines_in(stream, part: LineRange, block: int = BLOCK_BYTES) -> Iterator[tupl
 class TailReader(DataSourceStreamReader):
     """Reads what lies between two offsets; a new query starts at ``ends``."""
 
-    def __init__(self, path: str, suffix: str, range_bytes: int, ends: dict | None) -> None:
-        self.path, self.suffix, self.range_bytes, self.ends = path, suffix, range_bytes, ends
+    def __init__(self, path: str, suffix: str, range_bytes: int, ends: dict | None, tasks: int = 1) -> None:
+        self.path, self.suffix, self.range_bytes, self.ends, self.tasks = path, suffix, range_bytes, ends, tasks
         #: Size and last line end of the files seen before; saves reading those that did not change.
         self.known: dict[str, tuple[int, object, int]] = {}
 
@@ -121,18 +147,20 @@ class TailReader(DataSourceStreamReader):
         from pyarrow import fs
 
         system, folder = open_folder(self.path)
-        ends, known = {}, {}
-        for info in system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True)):
-            if info.type != fs.FileType.File or not info.path.endswith(self.suffix):
-                continue
+        infos = system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
+        infos = [i for i in infos if i.type == fs.FileType.File and i.path.endswith(self.suffix)]
+
+        def look(info) -> tuple[str, tuple]:
             file = info.path[len(folder.rstrip("/")) + 1 :]
             before = self.known.get(file)
             if before is None or before[:2] != (info.size, info.mtime_ns):
                 with system.open_input_file(info.path) as stream:
                     before = (info.size, info.mtime_ns, last_line_end(stream, info.size))
-            known[file], ends[file] = before, before[2]
-        self.known = known
-        return ends
+            return file, before
+
+        with ThreadPoolExecutor(LOOKUPS) as pool:  # these wait for the store, not for each other
+            self.known = dict(pool.map(look, infos))
+        return {file: end for file, (_, _, end) in self.known.items()}
 
     def initialOffset(self) -> dict:
         return self.ends or {}
@@ -141,31 +169,37 @@ class TailReader(DataSourceStreamReader):
         return self.current()
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return ranges(start, end, self.range_bytes)
-
-    def read(self, partition: LineRange) -> Iterator[pa.RecordBatch]:
-        system, folder = open_folder(self.path)
-        restarts, rows = partition.first == 0, []
-        try:
-            stream = system.open_input_file(f"{folder.rstrip('/')}/{partition.file}")
-        except FileNotFoundError:  # gone since it was listed
-            return
-        with stream:
-            for pos, data in lines_in(stream, partition):
-                try:
-                    line = data.decode().rstrip("\r")
-                except UnicodeDecodeError:
-                    continue
-                if not line and not restarts:
-                    continue
-                rows.append((partition.file, restarts, pos, line))
-                restarts = False
-                if len(rows) >= BATCH_LINES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
-                    rows = []
+        return bundles(ranges(start, end, self.range_bytes), self.tasks, self.range_bytes)
+
+    def read(self, partition: RangeBundle) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for row in self._rows(partition):
+            rows.append(row)
+            if len(rows) >= BATCH_LINES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+                rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
+    def _rows(self, partition: RangeBundle) -> Iterator[tuple]:
+        system, folder = open_folder(self.path)
+        for part in partition.ranges:
+            restarts = part.first == 0
+            try:
+                stream = system.open_input_file(f"{folder.rstrip('/')}/{part.file}")
+            except FileNotFoundError:  # gone since it was listed
+                continue
+            with stream:
+                for pos, data in lines_in(stream, part):
+                    try:
+                        line = data.decode().rstrip("\r")
+                    except UnicodeDecodeError:
+                        continue
+                    if not line and not restarts:
+                        continue
+                    yield part.file, restarts, pos, line
+                    restarts = False
+
 
 class HistoryReader(DataSourceReader):
     """The same lines as a batch: all up to ``ends``."""
@@ -174,14 +208,14 @@ class HistoryReader(DataSourceReader):
         self.tail = tail
 
     def partitions(self) -> Sequence[InputPartition]:
-        return ranges({}, self.tail.current() if self.tail.ends is None else self.tail.ends, self.tail.range_bytes)
+        return self.tail.partitions({}, self.tail.current() if self.tail.ends is None else self.tail.ends)
 
-    def read(self, partition: LineRange | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RangeBundle | None) -> Iterator[pa.RecordBatch]:
         return self.tail.read(partition) if partition is not None else iter(())
 
 
 class TailSource(DataSource):
-    """Format ``tailed_logs`` with options ``path``, ``suffix``, ``rangeBytes`` and ``ends``, an offset as JSON."""
+    """Format ``tailed_logs`` with options ``path``, ``suffix``, ``rangeBytes``, ``tasks`` (at least) and ``ends``, an offset as JSON."""
 
     @classmethod
     def name(cls) -> str:
@@ -192,7 +226,8 @@ class TailSource(DataSource):
 
     def _reader(self) -> TailReader:
         o = self.options
-        return TailReader(o["path"], o.get("suffix", SUFFIX), int(o.get("rangeBytes", RANGE_BYTES)), json.loads(o["ends"]) if "ends" in o else None)
+        ends = json.loads(o["ends"]) if "ends" in o else None
+        return TailReader(o["path"], o.get("suffix", SUFFIX), int(o.get("rangeBytes", RANGE_BYTES)), ends, int(o.get("tasks", 1)))
 
     def streamReader(self, schema) -> TailReader:
         return self._reader()
@@ -229,6 +264,7 @@ def read_tailed_lines(
 def _lines(spark, reader, path, suffix, ends, capture_id, range_bytes) -> DataFrame:
     spark.dataSource.register(TailSource)
     reader = reader.format("tailed_logs").option("path", path).option("suffix", suffix).option("rangeBytes", range_bytes)
+    reader = reader.option("tasks", 2 * spark.sparkContext.defaultParallelism)
     raw = (reader if ends is None else reader.option("ends", json.dumps(ends))).load()
     tenant = capture_id if capture_id is not None else F.lit("local")
     return raw.select(tenant.alias("capture_id"), "log_id", F.lit(0).cast("bigint").alias("chunk_no"), "pos", "line", "restarts")
