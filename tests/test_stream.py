@@ -107,6 +107,21 @@ def test_dedup_never_forgets(spark, sf_dir, tmp_path):
     assert got.columns == stream().columns and same(got.select(*names), want.select(*names))
 
 
+def test_dedup_keeps_the_first_arrival_without_python_per_key(spark, tmp_path):
+    t = 1_700_000_000_000
+    first = [dict(event_id=f"e{i % 5}", arrival_ms=t + 50 - i, arrival_seq=i, tokens_thinking=i) for i in range(20)]
+    later = [dict(event_id="e1", arrival_ms=t, tokens_thinking=99), dict(event_id="e7", arrival_ms=t, tokens_thinking=7), dict(event_id="e7", arrival_ms=None, tokens_thinking=8)]
+    for part, rows in enumerate((first, later)):
+        raw(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+        stream = ingest.stream_dedup(ingest.stream_raw_turns(spark, str(tmp_path / "in" / "*")), buckets=2)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out"))
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert [o["operatorName"] for o in query.lastProgress["stateOperators"]] == ["dedupe"]
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert sorted((r.event_id, r.tokens_thinking) for r in got.collect()) == [("e0", 15), ("e1", 16), ("e2", 17), ("e3", 18), ("e4", 19), ("e7", 7)]
+
+
 def test_drain_gives_what_still_waits(spark, sf_dir, tmp_path):
     rows = fx.raw_turns(spark, sf_dir).select(*RAW_TURN.fieldNames())
     unique = keep_first(rows).select(*RAW_TURN.fieldNames())
