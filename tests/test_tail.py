@@ -164,3 +164,21 @@ def test_rollouts_go_on_after_history(spark, tmp_path):
 
 
 COMPARED = ["model", "prompt_id", "tokens_input", "tokens_output", "session_id", "workspace", "arrival_seq"]
+
+
+def test_logs_share_the_state_of_their_bucket(spark, tmp_path):
+    """Many logs make few state entries, each log still goes on from its own place."""
+    logs = [f"log{i}" for i in range(60)]
+    part = lambda *texts: [(log, pos, text(i) if callable(text) else text) for i, log in enumerate(logs) for pos, text in enumerate(texts)]
+    frame = lambda rows, at: spark.createDataFrame([("c", log, 0, at + pos, line) for log, pos, line in rows], "capture_id string, log_id string, chunk_no bigint, pos bigint, line string")
+    history = carried_states(frame(part(META, PROMPT, lambda i: usage(100 * i)), 0).where("log_id <> 'log7'"))
+    for step in range(2):
+        frame(part(lambda i: usage(100 * i + (step + 1) * (i + 1))), 10 + step).coalesce(1).write.parquet(str(tmp_path / "in" / f"{step}"))
+        stream = stream_rollouts(spark.readStream.schema("capture_id string, log_id string, chunk_no bigint, pos bigint, line string").parquet(str(tmp_path / "in" / "*")), history, buckets=4)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out"))
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect()
+    want = {(f"log{i}", 10 + step): (i + 1 if i != 7 or step else 708, "ses#p1" if i != 7 else None) for i in range(60) for step in range(2)}
+    assert {(r.log_id, r.pos): (r.tokens_input, r.prompt_id) for r in got} == want and len(got) == len(want)
