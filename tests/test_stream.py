@@ -157,6 +157,52 @@ def test_state_is_written_by_the_arrivals(spark, tmp_path):
     assert updated[1][1] <= 10 and updated[1][0] >= 398
 
 
+def test_captures_of_a_bucket_share_calls_to_the_state():
+    """A batch looks up the state of a bucket once, however many captures arrive in it."""
+    import json
+    from types import SimpleNamespace
+
+    class Entries(dict):
+        calls = 0
+
+        def iterator(self):
+            Entries.calls += 1
+            return iter(list(self.items()))
+
+        updateValue, removeKey = dict.__setitem__, dict.__delitem__
+
+    kept = {}
+    handle = SimpleNamespace(getMapState=lambda name, *_: kept.setdefault(name, Entries()))
+    part = pairing.Pairing(idle_flush=False)
+    part.init(handle)
+
+    def batch(source, at):
+        rows = [dict(capture_id=f"c{i}", source=source, tokens_input=9, tokens_output=9, tokens_cache=0, timestamp_ms=at, arrival_ms=at, arrival_seq=0, dedup_id=f"{source}{i}", flush_ms=at + 20_000) for i in range(50)]
+        return list(part.handleInputRows((0,), iter([SimpleNamespace(row=json.dumps(r)) for r in rows]), None))
+
+    assert batch("jsonl", 1_000) == [] and len(kept["waiting"]) == 50
+    pairs = batch("otel", 2_000)
+    assert len(pairs) == 50 and not kept["waiting"] and not kept["memory"] and Entries.calls == 4
+    assert all(json.loads(p.row)["capture_id"] == json.loads(p.twin)["capture_id"] for p in pairs)
+
+
+def test_values_survive_the_state(spark, tmp_path):
+    t = 1_700_000_000_000
+    odd = [
+        dict(source=s, timestamp_ms=t + i, arrival_ms=t + 30_000 * i + k, tokens_output=1000 * i, tokens_cache=(1 << 62) + i, model='a"b\\c\n\u00e9\u2028 </x>', prompt_id=p, event_id=f"{s}{i}",
+             session_id="", workspace=w, cost_usd=c, duration_ms=0, capture_id=f"c{i % 3}")
+        for i, (p, w, c) in enumerate([(None, "/w", 0.1 + 0.2), ("", None, 5e-324), ("p\t", "\\\\?\\x", float("nan")), ("q", "", float("-inf")), (None, None, -0.0), ("r", "/z", None)])
+        for k, s in enumerate(["jsonl", "otel", "cursor"] if i % 2 else ["jsonl", "cursor"])
+    ]
+    rows = raw(spark, odd)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = pairing.correlate_stream(ingest.stream_raw_turns(spark, str(tmp_path / "in")), idle_flush=False)
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).unionByName(pairing.drain(spark, str(tmp_path / "state")))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, correlate(rows).select(*got.columns).collect()))
+
+
 def test_store_is_idempotent(spark, sf_dir, tmp_path):
     raws, sessions = fx.raw_turns(spark, sf_dir).select(*RAW_TURN.fieldNames()), fx.sessions(spark, sf_dir)
     turns = correlate(raws)

@@ -1,15 +1,18 @@
-"""Cross-source pairing on a stream, keyed by capture.
+"""Cross-source pairing on a stream, by capture.
 
 The same rule as the batch job (:mod:`turnlake.operators.matching`).  The state
 of a capture has an entry for each observation that waits and each that gave up
 recently, both bounded by the rule's hold and memory times.  A micro-batch
-writes the entries it changes, not the others.  A processing-time timer lets
-idle captures give up too; :func:`drain` reads what still waits when a query
-has ended.
+writes the entries it changes, not the others.  Captures of a hash bucket share
+a key of the state, and an observation travels and is kept as one JSON text, so
+calls and cells between Python and the state store stay few.  A processing-time
+timer lets idle captures give up too; :func:`drain` reads what still waits when
+a query has ended.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterator
 
@@ -27,6 +30,8 @@ from turnlake.streaming.ingest import use_rocksdb
 #: A control row makes its capture give up everything at once (session stop).
 STOP = "stop"
 
+#: Fixed for a query: captures share the state of their hash bucket.
+BUCKETS = 1 << 13
 _ROW = T.StructType(
     RAW_TURN.fields
     + [
@@ -35,18 +40,18 @@ _ROW = T.StructType(
         T.StructField("flush_ms", T.LongType()),
     ]
 )
-_NAMES = _ROW.fieldNames()
-#: Where an observation stands in the order of arrival.
-_PLACE = T.StructType([T.StructField("arrival_ms", T.LongType()), T.StructField("arrival_seq", T.LongType()), T.StructField("dedup_id", T.StringType())])
-_OUT = T.StructType(
-    _ROW.fields + [T.StructField("emitted_ms", T.LongType())] + [T.StructField(f"twin_{f.name}", f.dataType) for f in RAW_TURN.fields if f.name in TWIN_COLUMNS]
-    + [T.StructField("paired", T.BooleanType())]
+#: Where an observation of a capture stands in the order of arrival, and what is held of it.
+_PLACE = T.StructType(
+    [T.StructField("capture_id", T.StringType()), T.StructField("arrival_ms", T.LongType()), T.StructField("arrival_seq", T.LongType()), T.StructField("dedup_id", T.StringType())]
 )
-_TWINS = [f.name.removeprefix("twin_") for f in _OUT.fields if f.name.startswith("twin_")]
+_HELD = T.StructType([T.StructField("row", T.StringType()), T.StructField("flush_ms", T.LongType())])
+#: Rows as JSON: the main observation and, of a pair, its twin.
+_OUT = T.StructType([T.StructField("row", T.StringType()), T.StructField("emitted_ms", T.LongType()), T.StructField("twin", T.StringType())])
+_TWIN = T.StructType([RAW_TURN[c] for c in TWIN_COLUMNS])
 
 
 class Pairing(StatefulProcessor):
-    """Waiting and remembered observations of one capture.
+    """Waiting and remembered observations of the captures of one bucket.
 
     ``idle_flush`` is for queries that follow live logs: timers run by the
     clock, so on a replay of old logs they would end every wait at once.
@@ -57,31 +62,36 @@ class Pairing(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", _PLACE, _ROW)
-        self.memory = handle.getMapState("memory", _PLACE, _ROW)
-
-    def _restore(self) -> tuple[PairingState, dict]:
-        state, rows = PairingState(self.tick_ms), {}
-        for stored, put in ((self.waiting, state.wait), (self.memory, state.remember)):
-            for _, row in stored.iterator():
-                put(self._seen(dict(zip(_NAMES, row)), rows))
-        self.before = {n: {s.place for s in now} for n, now in self._now(state).items()}
-        return state, rows
+        self.waiting = handle.getMapState("waiting", _PLACE, _HELD)
+        self.memory = handle.getMapState("memory", _PLACE, _HELD)
+
+    def _restore(self) -> None:
+        self.states: dict[str | None, PairingState] = {}
+        self.texts: dict[tuple, str] = {}
+        for stored, remembered in ((self.waiting, False), (self.memory, True)):
+            for (capture, *_), (text, flush) in stored.iterator():
+                state = self.states.setdefault(capture, PairingState(self.tick_ms))
+                seen = self._seen(json.loads(text), text)._replace(flush=flush)
+                state.remember(seen) if remembered else state.wait(seen)
+        self.before = {c: {n: {s.place for s in now} for n, now in self._now(state).items()} for c, state in self.states.items()}
 
     @staticmethod
     def _now(state: PairingState) -> dict[str, list[Seen]]:
         return {"waiting": state.still_waiting(), "memory": state.still_remembered()}
 
-    def _store(self, state: PairingState, rows: dict) -> None:
+    def _store(self) -> None:
         """Write the entries that are new, remove those that are gone."""
-        for name, seen in self._now(state).items():
-            stored, places = getattr(self, name), {s.place for s in seen}
-            for place in self.before[name] - places:
-                stored.removeKey(place)
-            for place in places - self.before[name]:
-                stored.updateValue(place, tuple(rows[place][n] for n in _NAMES))
+        for capture, state in self.states.items():
+            for name, seen in self._now(state).items():
+                stored, places = getattr(self, name), {s.place for s in seen}
+                before = self.before.get(capture, {}).get(name, set())
+                for place in before - places:
+                    stored.removeKey((capture, *place))
+                for s in seen:
+                    if s.place not in before:
+                        stored.updateValue((capture, *s.place), (self.texts[capture, s.place], s.flush))
         if self.idle_flush:
-            self._keep_timer(min((s.flush for s in state.still_waiting()), default=None))
+            self._keep_timer(min((s.flush for state in self.states.values() for s in state.still_waiting()), default=None))
 
     def _keep_timer(self, due: int | None) -> None:
         """One timer, for the first that gives up; none if nothing waits."""
@@ -94,50 +104,51 @@ class Pairing(StatefulProcessor):
         for t in set_before:
             self.handle.deleteTimer(t)
 
-    @staticmethod
-    def _seen(row: dict, rows: dict) -> Seen:
-        model = (row["model"] or "").strip() or None
-        place = (row["arrival_ms"], row["arrival_seq"], row["dedup_id"])
-        rows[place] = row
-        return Seen(
-            place, row["dedup_id"], row["source"], model, row["tokens_input"], row["tokens_output"], row["tokens_cache"],
-            row["timestamp_ms"], row["flush_ms"],
+    def _seen(self, row: dict, text: str) -> Seen:
+        model = (row.get("model") or "").strip() or None
+        seen = Seen(
+            self._place(row), row.get("dedup_id"), row.get("source"), model, row.get("tokens_input"), row.get("tokens_output"),
+            row.get("tokens_cache"), row.get("timestamp_ms"), row.get("flush_ms"),
         )
+        self.texts[row.get("capture_id"), seen.place] = text
+        return seen
 
     @staticmethod
-    def _emit(fates: list, rows: dict) -> Iterator[Row]:
+    def _place(row: dict) -> tuple:
+        return row.get("arrival_ms"), row.get("arrival_seq"), row.get("dedup_id")
+
+    def _emit(self, capture: str | None, fates: list) -> Iterator[Row]:
         for f in fates:
             if f.fate == "suppressed" or (f.fate == "pair" and f.seen.source != "otel"):
                 continue
-            twin = rows[f.partner.place] if f.fate == "pair" else None
-            yield Pairing._row(rows[f.seen.place], f.at, twin)
-
-    @staticmethod
-    def _row(main: dict, emitted_ms: int, twin: dict | None = None) -> Row:
-        values = [main[n] for n in _NAMES] + [emitted_ms] + [twin[n] if twin else None for n in _TWINS] + [twin is not None]
-        return Row(*_OUT.fieldNames())(*values)
+            twin = self.texts[capture, f.partner.place] if f.fate == "pair" else None
+            yield Row(*_OUT.fieldNames())(self.texts[capture, f.seen.place], f.at, twin)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state, known = self._restore()
-        # One capture's part of one micro-batch, put back in order.
-        for row in sorted(rows, key=lambda r: (r.arrival_ms, r.arrival_seq, r.dedup_id)):
-            record, now = row.asDict(), row.arrival_ms
-            yield from self._emit(state.advance(now), known)
-            if row.source == STOP:
-                given_up = state.give_up(now)
-                for f in given_up:
-                    known[f.seen.place]["flush_ms"] = now
-                yield from self._emit(given_up, known)
-            elif row.source in CORRELATED_SOURCES:
-                yield from self._emit(state.arrive(self._seen(record, known), now), known)
-            else:
-                yield self._row(record, row.flush_ms)
-        self._store(state, known)
+        self._restore()
+        arrivals: dict[str | None, list[tuple]] = {}
+        for packed in rows:
+            row = json.loads(packed.row)
+            arrivals.setdefault(row.get("capture_id"), []).append((row, packed.row))
+        for capture, own in arrivals.items():
+            state = self.states.setdefault(capture, PairingState(self.tick_ms))
+            # One capture's part of one micro-batch, put back in order.
+            for row, text in sorted(own, key=lambda r: self._place(r[0])):
+                now = row.get("arrival_ms")
+                yield from self._emit(capture, state.advance(now))
+                if row.get("source") == STOP:
+                    yield from self._emit(capture, state.give_up(now))
+                elif row.get("source") in CORRELATED_SOURCES:
+                    yield from self._emit(capture, state.arrive(self._seen(row, text), now))
+                else:
+                    yield Row(*_OUT.fieldNames())(text, row.get("flush_ms"), None)
+        self._store()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state, known = self._restore()
-        yield from self._emit(state.advance(timerValues.getCurrentProcessingTimeInMs()), known)
-        self._store(state, known)
+        self._restore()
+        for capture, state in self.states.items():
+            yield from self._emit(capture, state.advance(timerValues.getCurrentProcessingTimeInMs()))
+        self._store()
 
     def close(self) -> None:
         pass
@@ -162,8 +173,10 @@ def correlate_stream(raw: DataFrame, tick_ms: int = TICK_MS, idle_flush: bool =
             "dedup_id": F.coalesce(dedup_id(), F.lit("")),
             "flush_ms": (due + F.pmod(-due, F.lit(tick_ms))).cast("bigint"),
         }
-    ).select(*_NAMES)
-    paired = rows.groupBy("capture_id").transformWithState(
+    )
+    row = F.to_json(F.struct(*_ROW.fieldNames())).alias("row")
+    bucket = F.pmod(F.xxhash64("capture_id"), F.lit(BUCKETS)).alias("_bucket")
+    paired = rows.select(bucket, row).groupBy("_bucket").transformWithState(
         statefulProcessor=Pairing(tick_ms, idle_flush), outputStructType=_OUT, outputMode="Append", timeMode="ProcessingTime" if idle_flush else "None"
     )
     return _turns(paired)
@@ -179,11 +192,9 @@ def drain(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
     """
     use_rocksdb(spark)
     state = spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", "waiting").load()
-    alone = {f"twin_{n}": F.lit(None) for n in _TWINS}
-    rows = state.select("user_map_value.*").withColumns({**alone, "emitted_ms": F.col("flush_ms"), "paired": F.lit(False)})
-    return _turns(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _OUT.fields]))
+    return _turns(state.select("user_map_value.row", F.col("user_map_value.flush_ms").alias("emitted_ms"), F.lit(None).cast("string").alias("twin")))
 
 
 def _turns(paired: DataFrame) -> DataFrame:
-    twin = F.when(F.col("paired"), F.struct(*[F.col(f"twin_{n}").alias(n) for n in TWIN_COLUMNS]))
-    return merge_turns(paired.withColumn("twin", twin))
+    rows = paired.select(F.from_json("row", _ROW).alias("_r"), "emitted_ms", F.from_json("twin", _TWIN).alias("twin"))
+    return merge_turns(rows.select("_r.*", "emitted_ms", "twin"))
