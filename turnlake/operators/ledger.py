@@ -24,6 +24,8 @@ from turnlake.operators.segments import lag_value, position_blocks, range_blocks
 LEDGER_VERSION = 1
 SEP = "\u001f"
 CHAIN_VERSION = 4
+#: Heads of a batch handed on.
+BATCH_HEADS = 10_000
 
 
 def turn_index(turns: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -67,9 +69,13 @@ def genesis(domain: str) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+_HEADS = pa.schema([("capture_id", pa.string()), ("attempt_id", pa.string()), ("head", pa.string()), ("turn_count", pa.int64())])
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Heads out of rows sorted by session, its first link ahead of its turns."""
     rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+    done: list[tuple] = []
     for (capture, attempt), links in groupby(rows, itemgetter(0, 1)):
         head, count = None, 0
         for _, _, is_turn, text in links:
@@ -79,7 +85,16 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head = sha256(f"{head}{SEP}{text}".encode()).hexdigest()
                 count += 1
         if head is not None:
-            yield pa.RecordBatch.from_pydict({"capture_id": [capture], "attempt_id": [attempt], "head": [head], "turn_count": [count]})
+            done.append((capture, attempt, head, count))
+        if len(done) >= BATCH_HEADS:
+            yield _heads_batch(done)
+            done = []
+    if done:
+        yield _heads_batch(done)
+
+
+def _heads_batch(heads: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*heads), _HEADS.types)], schema=_HEADS)
 
 
 def ledger_heads(sessions: DataFrame, turns: DataFrame, domain: str, order: list[str] | None = None) -> DataFrame:
