@@ -35,3 +35,10 @@ def test_range_blocks_spread_one_key(spark):
     df = spark.range(10_000).select(F.lit("only").alias("k"), F.col("id").alias("at"))
     sizes = S.range_blocks(df, ["k"], ["at"], 8).groupBy(S.BLOCK).count().collect()
     assert len(sizes) == 8 and max(r["count"] for r in sizes) < 4_000
+
+
+def test_blocks_are_summed_without_moving_the_rows_again(spark):
+    """Rows move once, by block; what else moves is one row per block and map task."""
+    df = S.position_blocks(spark.range(2000).select((F.col("id") % 3).alias("k"), F.col("id").alias("pos")), "pos", 100)
+    plan = S.with_ordered(df, ["k"], ["pos"], {"total": S.running_sum(F.col("pos"))})._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" not in plan
